@@ -73,12 +73,11 @@ def whole_text(docs: DataFrame, *more: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array, empty for none."""
-    inner = F.regexp_replace(F.regexp_replace(text, "^" + SPACE, ""), SPACE + r"\z", "")
-    return F.filter(F.split(inner, SPACE), lambda w: w != "")
+    return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
 def n_words_of(text: Column) -> Column:
-    """How many words: white-space runs are cut to one, words to nothing, and what is left is counted."""
+    """How many words a text has; null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 

@@ -14,7 +14,9 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más pero",
 }
-LISTED = tuple(sorted({w for words in COMMON.values() for w in words.split()}))
+#: In turns by rank, so that a search in order ends early on frequent words.
+LISTED = tuple(dict.fromkeys(w for ranked in zip(*(x.split() for x in COMMON.values()), strict=False) for w in ranked))
+CODES = [chr(33 + i) for i in range(94)]
 SYMBOLS = r"#*$%&|<>"
 #: Character classes counted by pattern; what no class holds, lower-case letters above all, is the last.
 CLASSES = (r"\x20\x09-\x0D", SYMBOLS, r"\p{Lu}", r"\p{Nd}", r".,;:?'\"()\-", "!")
@@ -33,29 +35,35 @@ def count_class(text: Column, characters: str) -> Column:
 def repeated_words(words: Column, width: int = 3) -> Column:
     """Words covered by windows that the text has twice or more.
 
-    Windows are sorted with their places, equal neighbours are kept, and the places they cover are
-    counted once each: n log n in one row, no shuffle.
+    Hashes of the windows, with the places in their low bits, are sorted; those beside an equal hash
+    are then compared as texts, so the count is exact. n log n in one row, no shuffle.
     """
+    low = 24  # bits of a place
+    twice = lambda at, same: lambda x, k: F.coalesce(same(x, at(k - 1)), F.lit(False)) | F.coalesce(same(x, at(k + 1)), F.lit(False))
 
     def of(w: Column) -> Column:
-        n = F.size(w)
-        windows = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.struct(F.concat_ws(" ", *(F.get(w, i + (k - 1)) for k in range(width))).alias("w"), i.alias("i")))
+        keys = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.shiftleft(F.xxhash64(*(F.get(w, i + k) for k in range(width))), low).bitwiseOR(i.cast("long")))
+        near = lambda s: F.filter(s, twice(lambda k: F.get(s, k), lambda x, y: F.shiftright(x, low) == F.shiftright(y, low)))
 
-        def places(s: Column) -> Column:
-            same = lambda a, b: F.get(s, a)["w"] == F.get(s, b)["w"]
-            twice = F.filter(s, lambda x, k: F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)))
-            return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(*(x["i"] + k for k in range(width)))))))
+        def windows(kept: Column) -> Column:
+            place = lambda x: x.bitwiseAND(F.lit((1 << low) - 1)).cast("int")
+            return F.transform(kept, lambda x: F.struct(F.concat_ws(" ", *(F.get(w, place(x) + k) for k in range(width))).alias("w"), place(x).alias("i")))
 
-        return F.when(n < width + 1, 0).otherwise(let(F.sort_array(windows), places))
+        def covered(s: Column) -> Column:
+            same = F.filter(s, twice(lambda k: F.get(s, k)["w"], lambda x, y: x["w"] == y))
+            return F.size(F.array_distinct(F.flatten(F.transform(same, lambda x: F.array(*(x["i"] + k for k in range(width)))))))
+
+        exact = lambda kept: F.when(F.size(kept) == 0, 0).otherwise(let(F.sort_array(windows(kept)), covered))
+        return F.when(F.size(w) < width + 1, 0).otherwise(let(F.sort_array(keys), lambda s: let(near(s), exact)))
 
     return let(words, of).cast("long")
 
 
 def word_codes(words: Column) -> Column:
     """One character for each common word of a text, in order; counts of a word are then counts of its character."""
-    table = F.create_map(*(F.lit(x) for i, w in enumerate(LISTED) for x in (w, chr(0x100 + i))))
-    lowered = F.transform(words, F.lower)
-    return F.array_join(F.transform(F.filter(lowered, lambda w: w.isin(*LISTED)), lambda w: F.element_at(table, w)), "")
+    table = F.create_map(*(F.lit(x) for w, code in zip(LISTED, CODES, strict=False) for x in (w, code)))
+    written = sorted({*LISTED, *map(str.capitalize, LISTED)})
+    return F.array_join(F.transform(F.filter(words, lambda w: w.isin(*written)), lambda w: F.element_at(table, F.lower(w))), "")
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -68,7 +76,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """A slim row a document: base counts and the two histograms."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"), words_of(text).alias("words"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.regexp_replace(x, f"[{CLASSES[0]}]++", "")) > 0)
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
     counted = split.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"), F.length("text").cast("long").alias("n_chars"),
         F.array(*(count_class(F.col("text"), c).cast("long") for c in CLASSES)).alias("classes"),
@@ -76,7 +84,7 @@ def measured(docs: DataFrame) -> DataFrame:
         repeated_words(F.col("words")).alias("n_repeat_words"), word_codes(F.col("words")).alias("codes"),
     )
     rest = F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
-    common = F.array(*(F.length("codes") - F.length(F.translate("codes", chr(0x100 + i), "")) for i in range(len(LISTED))))
+    common = F.array(*(F.length("codes") - F.length(F.replace("codes", F.lit(code), F.lit(""))) for code in CODES[: len(LISTED)]))
     return counted.select("doc_id", "lang", "n_words", (F.col("n_chars") - F.get("classes", F.lit(0))).alias("word_chars"), F.get("classes", F.lit(1)).alias("n_symbols"), "n_dup_lines", "n_repeat_words", "n_chars", F.concat("classes", F.array(rest)).alias("classes"), common.cast("array<long>").alias("common"), F.length("codes").cast("long").alias("n_common"))
 
 
