@@ -89,20 +89,36 @@ def encoded(texts: DataFrame, known: dict[bytes, int], own: dict[bytes, int], si
     def encode(batches):
         from pyspark import TaskContext
 
-        uid, memo = TaskContext.get().partitionId() << 40, Memo(value, 200_000)
+        uid, new, values = TaskContext.get().partitionId() << 40, [], np.zeros((0, 5))
+
+        def number(word):
+            new.append(value(word))
+            return len(values) + len(new) - 1
+
+        at = Memo(number, 1 << 62)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text"):
-                words = tokens(text.as_py())
-                values = [memo[w] for w in words]
-                k, base, within, seen, rare = zip(*values, strict=True)
-                row = (uid, len(words), np.array(k, np.uint16).tobytes(), sum(base), sum(within), sum(seen), [w for w, r in zip(words, rare, strict=True) if r] if any(rare) else [])
-                for column, v in zip(rows, row, strict=True):
-                    column.append(v)
-                uid += 1
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
-            names = ("uid", "n_tokens", "classes", "base", "within", "n_seen", "rare")
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=["doc_id", "held_out", *names])
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                if len(values) > 300_000:
+                    at.clear()
+                    values = np.zeros((0, 5))
+                texts = [tokens(x.as_py()) for x in part.column("text")]
+                ids = [np.array([at[w] for w in words], np.int64) for words in texts]  # each word once, then numpy
+                values = np.concatenate([values, np.array(new).reshape(-1, 5)])
+                new.clear()
+                k, rare = values[:, 0].astype(np.uint16), values[:, 4] > 0
+                base, within, seen = ([float(v[x].sum()) for x in ids] for v in values.T[1:4])
+                columns = {
+                    "uid": pa.array(range(uid, uid + len(ids)), pa.int64()),
+                    "n_tokens": pa.array(map(len, ids), pa.int64()),
+                    "classes": pa.array([k[x].tobytes() for x in ids], pa.binary()),
+                    "base": pa.array(base, pa.float64()),
+                    "within": pa.array(within, pa.float64()),
+                    "n_seen": pa.array(map(int, seen), pa.int64()),
+                    "rare": pa.array([[words[i] for i in np.flatnonzero(rare[x])] for words, x in zip(texts, ids, strict=True)], pa.list_(pa.binary())),
+                }
+                uid += len(ids)
+                yield pa.record_batch([part.column("doc_id"), part.column("held_out"), *columns.values()], names=["doc_id", "held_out", *columns])
 
     return materialise(texts.select("doc_id", "held_out", "text").mapInArrow(encode, "doc_id long, held_out boolean, uid long, n_tokens long, classes binary, base double, within double, n_seen long, rare array<binary>"), "encoded")
 

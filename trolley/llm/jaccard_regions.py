@@ -5,7 +5,8 @@ taken as a pivot, and such pivots part nothing. The first pivots are therefore s
 a document's nearest ones are its own shingles, ties go by a global order (rarest first, by counts
 over all documents), and a document whose partners may have another home is replicated into the
 window of regions that a distance of at most 1 - t allows, its first n - ceil(t n) + 1 shingles. Two
-documents within the threshold always share a region. Within a region documents do differ in distance:
+documents within the threshold always share a region. Regions are cut again by size, a metric of its
+own that bounds the distance from below, with windows of one band. Within a region documents do differ in distance:
 one document of it is the first pivot, regions that this leaves with several components are
 joined outright when small, and cut by further pivots into Voronoi regions with windows of twice the
 radius when not, again and again until nothing is open.
@@ -14,6 +15,7 @@ radius when not, again and again until nothing is open.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Memo, joined_blocks, materialise, n_parts, part_vectors, sum_blocks, whole_text
 from .components import components
 
-ORDER_BITS = 18
-SMALL, PIVOTS, FEW = 24, 8, 500_000
+ORDER_BITS = 20
+SMALL, PIVOTS, FEW, FEW_REGIONS = 24, 8, 500_000, 2_000_000
 
 
 def word_memo() -> Memo:
@@ -55,19 +57,19 @@ def node_of(shingles: np.ndarray, seed: int) -> tuple[int, bytes]:
 
 def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
     """Documents by hash bucket of their shingles: the global order's rarity, of fixed size."""
-    shift = np.uint64(64 - ORDER_BITS)
+    shift, size = np.uint64(64 - ORDER_BITS), 1 << ORDER_BITS
 
     def count(batches):
         from pyspark import TaskContext
 
-        total, memo = np.zeros(1 << ORDER_BITS), word_memo()
+        total, memo = np.zeros(size), word_memo()
         for batch in batches:
             own = [shingle_set(x.as_py(), width, memo) for x in batch.column("text")]
             if own:
                 total += np.bincount((np.concatenate(own) >> shift).astype(np.int64), minlength=len(total))
         yield from part_vectors(total, TaskContext.get().partitionId())
 
-    return joined_blocks(sum_blocks(texts.select("text").mapInArrow(count, "block int, part long, v binary"), n_parts(texts)), 1 << ORDER_BITS)
+    return joined_blocks(sum_blocks(texts.select("text").mapInArrow(count, "block int, part long, v binary"), n_parts(texts)), size)
 
 
 def documents_with_prefix(texts: DataFrame, width: int, percent: int, rarity: np.ndarray, seed: int) -> DataFrame:
@@ -90,7 +92,7 @@ def documents_with_prefix(texts: DataFrame, width: int, percent: int, rarity: np
                 if len(known) >= 200_000:
                     known.clear()
                 known.add(node)
-                keep = len(s) + -(-percent * len(s) // 100) * -1 + 1
+                keep = len(s) - -(-percent * len(s) // 100) + 1
                 order = np.lexsort((s, rarity[(s >> shift).astype(np.int64)]))[:keep]
                 prefixes.append(s[order].view(np.int64))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
@@ -99,7 +101,7 @@ def documents_with_prefix(texts: DataFrame, width: int, percent: int, rarity: np
 
 
 def sets_of(texts: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFrame:
-    """node, n, shingles (array) of each of ``nodes``."""
+    """node, shingles (array) of each of ``nodes``."""
     few = np.sort(np.array([r.node for r in nodes.collect()], np.int64)) if nodes.count() <= FEW else None
 
     def sets(batches):
@@ -122,7 +124,7 @@ def sets_of(texts: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFr
 
     found = texts.select("text").mapInArrow(sets, "node long, shingles array<long>")
     found = found if few is not None else found.join(nodes, "node", "left_semi")
-    return materialise(found.groupBy("node").agg(F.first("shingles").alias("shingles")).select("node", F.size("shingles").alias("n"), "shingles"), "sets")
+    return materialise(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -135,6 +137,12 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(x.select("a", "b", (1 - F.col("common") / union).alias("distance"), (100 * F.col("common") >= percent * union).alias("linked")), "compared")
 
 
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sizes, and whose places in the region's order, still allow the threshold."""
+    most = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("pb"))
+    return pairs.where(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")).where((100 + percent) * most >= percent * (F.col("n") + F.col("nb")))
+
+
 def labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (region, node, n) with their component so far, of regions that still hold several."""
     rows = cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -145,26 +153,27 @@ def labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
 def region_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all links between nodes that share a region."""
     near = 1 - percent / 100
-    first = cells.groupBy("region").agg(F.min("node").alias("pivot"))
-    star = cells.join(first, "region").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = cells.groupBy("region").agg(F.min(F.struct(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))).alias("p")).select("region", "p.*")
+    rest = cells.join(first, "region").where("node <> b")
+    star = possible(rest.withColumnRenamed("node", "a"), percent).select("a", "b").distinct()
     links = compared(star, sets, percent).where("linked").select("a", "b")
-    cells = cells.join(sets.select("node", "n"), "node").join(first, "region").where("node <> pivot").drop("pivot")
+    cells = rest.drop("b", "nb", "pb")
     cells, links, turn = materialise(cells, "regions"), materialise(links, "links"), 0
     while True:
         open_ = materialise(labelled(cells, components(links)), "open")
         if open_.limit(1).count() == 0:
             return links
         small = open_.where(F.col("members") <= SMALL)
-        right = small.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = small.select("region", F.col("node").alias("a"), "n", "label").join(right, "region").where("a < b and label <> lb").where((100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
-        links = links.unionByName(compared(pairs.select("a", "b").distinct(), sets, percent).where("linked").select("a", "b"))
-        large = open_.where(F.col("members") > SMALL).select("region", "node", "n")
+        right = small.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
+        pairs = small.select("region", F.col("node").alias("a"), "n", "place", "label").join(right, "region").where("a < b and label <> lb")
+        links = links.unionByName(compared(possible(pairs, percent).select("a", "b").distinct(), sets, percent).where("linked").select("a", "b"))
+        large = open_.where(F.col("members") > SMALL).select("region", "node", "n", "place")
         if large.limit(1).count() == 0:
             return links
         turn += 1
         draw = [F.min(F.struct(F.xxhash64("node", F.lit(turn * PIVOTS + k)), "node"))["node"] for k in range(PIVOTS)]
         pivots = large.groupBy("region").agg(F.array_distinct(F.array(*draw)).alias("pivots"))
-        rows = large.join(pivots, "region").where(~F.array_contains("pivots", F.col("node"))).select("region", "node", "n", F.explode("pivots").alias("pivot"))
+        rows = large.join(pivots, "region").where(~F.array_contains("pivots", F.col("node"))).select("region", "node", "n", "place", F.explode("pivots").alias("pivot"))
         rows = materialise(rows, "voronoi")
         between = pivots.select(F.explode("pivots").alias("a"), "pivots").select("a", F.explode("pivots").alias("b"))
         pairs = rows.select(F.col("node").alias("a"), F.col("pivot").alias("b")).unionByName(between).where("a <> b").distinct()
@@ -173,11 +182,18 @@ def region_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         placed = rows.join(measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "distance"), ["node", "pivot"])
         home = placed.groupBy("region", "node").agg(F.min("distance").alias("least"))
         window = placed.join(home, ["region", "node"]).where(F.col("distance") <= F.col("least") + 2 * near + 1e-9)
-        window = materialise(window.select("region", "node", "n", "pivot"), "windows")
+        window = materialise(window.select("region", "node", "n", "place", "pivot"), "windows")
         # where windows would replicate a region more than twice over, its pivots leave and it stays one
         parted = window.groupBy("region").agg((F.count("*") <= 2 * F.count_distinct("node")).alias("parted"))
         window = window.join(parted, "region")
-        cells = materialise(window.select(F.when(F.col("parted"), F.xxhash64("region", "pivot", F.lit(turn))).otherwise(F.col("region")).alias("region"), "node", "n").distinct(), "regions")
+        cells = materialise(window.select(F.when(F.col("parted"), F.xxhash64("region", "pivot", F.lit(turn))).otherwise(F.col("region")).alias("region"), "node", "n", "place").distinct(), "regions")
+
+
+def several(cells: DataFrame) -> DataFrame:
+    """Regions of two nodes or more; sent to every executor if they were counted to be few."""
+    shared = cells.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("region")
+    shared = materialise(shared, "shared")
+    return F.broadcast(shared) if shared.count() <= FEW_REGIONS else shared
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -199,10 +215,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         if rows.where("node is not null").groupBy("node").agg((F.min("digest") < F.max("digest")).alias("two")).where("two").limit(1).count() == 0:
             break
         seed += 1  # two sets had one name
-    member = rows.where("prefix is not null").select(F.explode("prefix").alias("region"), "node")
-    shared = materialise(member.groupBy("region").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("region"), "shared")
-    side = F.broadcast(shared) if shared.count() <= FEW else shared
-    cells = materialise(member.join(side, "region", "left_semi").distinct(), "regions")
+    member = rows.where("prefix is not null").select(F.posexplode("prefix").alias("place", "region"), "node", "n")
+    cells = materialise(member.join(several(member), "region", "left_semi").distinct(), "regions")
+    band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9)))
+    cells = cells.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("region", "band").alias("region"), "node", "n", "place")
+    cells = materialise(cells.join(several(cells), "region", "left_semi"), "bands")
     sets = sets_of(texts, materialise(cells.select("node").distinct(), "nodes"), width, seed)
     labels = components(region_links(cells, sets, percent))
     labels = F.broadcast(labels) if labels.count() <= FEW else labels
