@@ -26,7 +26,9 @@ from .common import Memo, joined_blocks, materialise, n_parts, part_vectors, sum
 from .components import components
 
 ORDER_BITS = 20
-SMALL, PIVOTS, FEW, FEW_REGIONS = 24, 8, 500_000, 2_000_000
+SMALL, PIVOTS, FEW, FEW_REGIONS = 16, 8, 500_000, 2_000_000
+#: Shingles of a region that one task may hold.
+HELD = 600_000
 
 
 def word_memo() -> Memo:
@@ -146,10 +148,72 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
 def labelled(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (region, node, n) with their component so far, of regions that still hold several."""
     rows = cells.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("region", "members")
+    open_ = rows.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members"), F.sum("n").alias("total")).where("lo < hi").select("region", "members", "total")
     return rows.join(open_, "region")
 
 
+def held_links(pdf, percent: int):
+    """Links that complete the components of one region of bounded size, from its sets.
+
+    Distances to a few far-apart pivots come first; only pairs whose distances to every pivot differ by
+    the radius at most are looked at. Common shingles are counted by a matrix product, rare ones by
+    their lists of members.
+    """
+    import pandas as pd
+
+    nodes, sets, m = pdf["node"].to_numpy(), pdf["shingles"].tolist(), len(pdf)
+    n = np.array([len(s) for s in sets])
+    names, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), n)
+    often = df * 20 >= m
+    place = np.cumsum(often) - 1
+    dense = np.zeros((m, int(often.sum())), np.float32)
+    dense[row[often[column]], place[column[often[column]]]] = 1
+    rare = (df > 1) & ~often
+    order = np.argsort(column, kind="stable")
+    ends = np.cumsum(df)
+    starts = np.cumsum(n) - n
+
+    def common(i: int, j: int) -> np.ndarray:
+        out = dense[i:j] @ dense.T
+        for k in range(i, j):
+            own = column[starts[k] : starts[k] + n[k]]
+            own = own[rare[own]]
+            if len(own):
+                out[k - i] += np.bincount(np.concatenate([row[order[ends[c] - df[c] : ends[c]]] for c in own]), minlength=m)
+        return out
+
+    union = lambda i, j, both: n[i:j, None] + n[None, :] - both
+    away, pivots = np.full(m, np.inf), []
+    for _ in range(min(PIVOTS, m)):
+        p = int(np.argmax(np.where(np.isinf(away), 2, away))) if pivots else 0
+        both = common(p, p + 1)
+        pivots.append(1 - both[0] / union(p, p + 1, both)[0])
+        away = np.minimum(away, pivots[-1])
+    near = 1 - percent / 100 + 1e-6
+    parent = {x: x for x in pdf["label"].unique()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    labels, out = pdf["label"].to_numpy(), []
+    for i in range(0, m, 256):
+        j = min(i + 256, m)
+        both = common(i, j)
+        linked = 100 * both >= percent * union(i, j, both)
+        for d in pivots:
+            linked &= np.abs(d[i:j, None] - d[None, :]) <= near
+        for a, b in zip(*np.nonzero(linked), strict=True):
+            x, y = root(labels[i + a]), root(labels[b])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((nodes[i + a], nodes[b]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def region_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) whose components are those of all links between nodes that share a region."""
     near = 1 - percent / 100
@@ -167,7 +231,10 @@ def region_links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         right = small.select("region", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
         pairs = small.select("region", F.col("node").alias("a"), "n", "place", "label").join(right, "region").where("a < b and label <> lb")
         links = links.unionByName(compared(possible(pairs, percent).select("a", "b").distinct(), sets, percent).where("linked").select("a", "b"))
-        large = open_.where(F.col("members") > SMALL).select("region", "node", "n", "place")
+        held = open_.where((F.col("members") > SMALL) & (F.col("total") <= HELD)).select("region", "node", "label").join(sets, "node")
+        found = held.groupBy("region").applyInPandas(lambda pdf: held_links(pdf, percent), "a long, b long")
+        links = materialise(links.unionByName(found.distinct()), "links")
+        large = open_.where((F.col("members") > SMALL) & (F.col("total") > HELD)).select("region", "node", "n", "place")
         if large.limit(1).count() == 0:
             return links
         turn += 1
@@ -196,6 +263,15 @@ def several(cells: DataFrame) -> DataFrame:
     return F.broadcast(shared) if shared.count() <= FEW_REGIONS else shared
 
 
+def narrowed(cells: DataFrame, percent: int) -> DataFrame:
+    """Drop what a region's order shows to be too far from all its members: those of it whose shingles up
+    to here leave too few, even for the smallest set of the region; and regions left with one node."""
+    least = cells.groupBy("region").agg(F.min("n").alias("nb"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("region", "nb")
+    partner = F.greatest(F.col("nb"), F.ceil(percent * F.col("n") / 100))
+    rows = cells.join(least, "region").where((100 + percent) * (F.col("n") - F.col("place")) >= percent * (F.col("n") + partner))
+    return materialise(rows.drop("nb"), "narrowed")
+
+
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``; links are pairs at ``percent`` or more.
 
@@ -219,6 +295,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     cells = materialise(member.join(several(member), "region", "left_semi").distinct(), "regions")
     band = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9)))
     cells = cells.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("region", "band").alias("region"), "node", "n", "place")
+    cells = narrowed(narrowed(cells, percent), percent)
     cells = materialise(cells.join(several(cells), "region", "left_semi"), "bands")
     sets = sets_of(texts, materialise(cells.select("node").distinct(), "nodes"), width, seed)
     labels = components(region_links(cells, sets, percent))
