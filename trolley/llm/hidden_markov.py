@@ -79,12 +79,12 @@ def encoded(texts: DataFrame, known: dict[bytes, int], own: dict[bytes, int], si
     """
     below = np.log10(np.maximum(sizes[0] + ADD * (sizes[1] + 1), ADD))
 
-    def value(word):
-        k, c = own.get(word, -1), known.get(word, -1)
-        if k >= 0:
-            return k, np.log10(c + 1), 0.0, 1, 0
-        k = ending(word)
-        return (k, np.log10(c + 1), np.log10(c + ADD) - below[k], 1, 0) if c > 0 else (k, 0.0, -below[k], 0, 1)
+    def values_of(words):
+        k = np.array([own.get(w, -1) for w in words], np.int64)
+        c = np.array([known.get(w, 0) for w in words], float)
+        end = np.array([ending(w) for w in words], np.int64)
+        inner = np.where(c > 0, np.log10(c + ADD), 0) - below[end] if len(end) else c
+        return np.array([np.where(k >= 0, k, end), np.log10(c + 1), np.where(k >= 0, 0, inner), c > 0, c == 0]).T
 
     def encode(batches):
         from pyspark import TaskContext
@@ -92,7 +92,7 @@ def encoded(texts: DataFrame, known: dict[bytes, int], own: dict[bytes, int], si
         uid, new, values = TaskContext.get().partitionId() << 40, [], np.zeros((0, 5))
 
         def number(word):
-            new.append(value(word))
+            new.append(word)
             return len(values) + len(new) - 1
 
         at = Memo(number, 1 << 62)
@@ -104,7 +104,7 @@ def encoded(texts: DataFrame, known: dict[bytes, int], own: dict[bytes, int], si
                     values = np.zeros((0, 5))
                 texts = [tokens(x.as_py()) for x in part.column("text")]
                 ids = [np.array([at[w] for w in words], np.int64) for words in texts]  # each word once, then numpy
-                values = np.concatenate([values, np.array(new).reshape(-1, 5)])
+                values = np.concatenate([values, values_of(new)]) if new else values
                 new.clear()
                 k, rare = values[:, 0].astype(np.uint16), values[:, 4] > 0
                 base, within, seen = ([float(v[x].sum()) for x in ids] for v in values.T[1:4])
