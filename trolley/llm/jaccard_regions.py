@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ HELD = 600_000
 
 
 def word_memo() -> Memo:
-    return Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
+    return Memo(xxhash.xxh64_intdigest)
 
 
 def shingle_set(text: str, width: int, memo: Memo) -> np.ndarray:
@@ -42,7 +43,7 @@ def shingle_set(text: str, width: int, memo: Memo) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < width:
         return np.array([int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8, person=b"short").digest(), "little")], np.uint64)
-    h = np.array([memo[w] for w in words], np.uint64)
+    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     out = np.zeros(len(h) - width + 1, np.uint64)
     for k in range(width):
         x = h[k : len(h) - width + 1 + k]
@@ -75,7 +76,7 @@ def shingle_counts(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def documents_with_prefix(texts: DataFrame, width: int, percent: int, rarity: np.ndarray, seed: int) -> DataFrame:
-    """doc_id, n, node, digest, prefix (the regions of a document); a task gives a node's prefix once in a while only."""
+    """doc_id, text_hash, n, node, digest, prefix (the regions of a document); a task gives a node's prefix once in a while only."""
     shift, rarity = np.uint64(64 - ORDER_BITS), rarity.astype(np.float32)
 
     def prefix(batches):
@@ -97,14 +98,17 @@ def documents_with_prefix(texts: DataFrame, width: int, percent: int, rarity: np
                 keep = len(s) - -(-percent * len(s) // 100) + 1
                 order = np.lexsort((s, rarity[(s >> shift).astype(np.int64)]))[:keep]
                 prefixes.append(s[order].view(np.int64))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "digest": pa.array(digests, pa.binary()), "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
-    return materialise(texts.mapInArrow(prefix, "doc_id long, n long, node long, digest binary, prefix array<long>"), "prefixes")
+    return materialise(texts.mapInArrow(prefix, "doc_id long, text_hash long, n long, node long, digest binary, prefix array<long>"), "prefixes")
 
 
 def sets_of(texts: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFrame:
-    """node, shingles (array) of each of ``nodes``."""
-    few = np.sort(np.array([r.node for r in nodes.collect()], np.int64)) if nodes.count() <= FEW else None
+    """node, shingles (array) of each of ``nodes`` (node, text_hash of one of its texts)."""
+    small = nodes.count() <= FEW
+    few = np.sort(np.array([r.node for r in nodes.select("node").collect()], np.int64)) if small else None
+    if small:  # only their texts are read on by Python
+        texts = texts.join(F.broadcast(nodes.select("text_hash").distinct()), "text_hash", "left_semi")
 
     def sets(batches):
         memo, known = word_memo(), set()
@@ -284,7 +288,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     other and the least id of the others names the component; null if there is none. Repeated ids and
     rows: each row counts. Empty table: no rows. Other columns are ignored.
     """
-    texts = whole_text(docs)
+    texts = whole_text(docs).withColumn("text_hash", F.xxhash64("text"))
     rarity, seed = shingle_counts(texts, width), 1
     while True:
         rows = documents_with_prefix(texts, width, percent, rarity, seed)
@@ -297,7 +301,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     cells = cells.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("region", "band").alias("region"), "node", "n", "place")
     cells = narrowed(narrowed(cells, percent), percent)
     cells = materialise(cells.join(several(cells), "region", "left_semi"), "bands")
-    sets = sets_of(texts, materialise(cells.select("node").distinct(), "nodes"), width, seed)
+    nodes = materialise(cells.select("node").distinct(), "nodes")
+    side = F.broadcast(nodes) if nodes.count() <= FEW else nodes
+    nodes = materialise(rows.select("node", "text_hash").join(side, "node").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "nodes")
+    sets = sets_of(texts, nodes, width, seed)
     labels = components(region_links(cells, sets, percent))
     labels = F.broadcast(labels) if labels.count() <= FEW else labels
     placed = rows.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
