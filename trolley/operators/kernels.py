@@ -87,12 +87,11 @@ def biased(edges: DataFrame, stats: DataFrame, theta: float, steps: int = 30) ->
     """Transitions of a walk that avoids popular items: v_j W_ij / sum_k v_k W_ik.
 
     W is damped by prior over mean prior, v its dominant eigenvector by ``steps`` power iterations
-    from ones, scaled to a maximum of one each time.
+    from ones. The result does not depend on the length of v, so no step waits for a global norm.
     """
     w = damped(edges, stats, theta, stats.agg(F.avg("prior").alias("s")))
     v = stats.select("item", F.lit(1.0).alias("v"))
     for _ in range(steps):
-        raw = w.join(v.select(F.col("item").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("item")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-        v = raw.crossJoin(F.broadcast(raw.agg(F.max("v").alias("top")))).select("item", (F.col("v") / F.col("top")).alias("v"))
+        v = w.join(v.select(F.col("item").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("item")).agg(F.sum(F.col("w") * F.col("v")).alias("v"))
     ahead = w.join(v.select(F.col("item").alias("dst"), "v"), "dst").select("src", "dst", (F.col("w") * F.col("v")).alias("w"))
     return to_probability(ahead.where("w > 0"))

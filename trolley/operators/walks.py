@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def moved(mass: DataFrame, edges: DataFrame) -> DataFrame:
     """One step: (id, item, s) along src -> dst."""
@@ -42,14 +44,14 @@ def basket_walk(start: DataFrame, edges: DataFrame, d: float, steps: int) -> Dat
 def converged(start: DataFrame, edges: DataFrame, alpha: float, tolerance: float = 1e-5, batch: int = 5, most: int = 200) -> tuple[DataFrame, int]:
     """A restart walk until its total changes by ``tolerance`` of itself at most, and the steps taken.
 
-    Every ``batch`` steps the state is checkpointed, which cuts its lineage, and one sum is read.
+    Every ``batch`` steps the state is written, which cuts its lineage, and one sum is read.
     """
     home = scaled(start, 1 - alpha)
     s, before, steps = home, None, 1
     while steps < most:
         for _ in range(batch):
             s = added(scaled(moved(s, edges), alpha), home)
-        s, steps = s.checkpoint(), steps + batch
+        s, steps = cut(s), steps + batch
         total = s.agg(F.sum("s")).first()[0] or 0.0
         if before is not None and abs(total - before) <= tolerance * max(abs(total), 1e-300):
             break
