@@ -103,8 +103,8 @@ def divergence_rules(docs: DataFrame, most_class: float = 0.26, some_class: floa
     """
     rows = materialise(measured(docs), "rules")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
-    p_class = F.transform("classes", lambda x: x / F.col("n_chars"))
-    p_common = F.transform(F.concat("common", F.array(F.col("n_words") - F.col("n_common"))), lambda x: x / F.col("n_words"))
+    p_class = F.transform("classes", lambda x: x / F.greatest("n_chars", F.lit(1)))
+    p_common = F.transform(F.concat("common", F.array(F.col("n_words") - F.col("n_common"))), lambda x: x / F.greatest("n_words", F.lit(1)))
     rows = rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), p_class.alias("p_class"), p_common.alias("p_common"))
     n_class, n_common = len(CLASSES) + 1, len(LISTED) + 1
     means = [F.avg(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in (("p_class", n_class), ("p_common", n_common)) for i in range(n)]
