@@ -77,15 +77,14 @@ class ShardStore:
 
 
 def stored(docs: DataFrame, path: str, target: int = TARGET) -> ShardStore:
-    """Append ``docs`` to a new store at ``path`` and compact it until no tier has runs to merge.
+    """Append ``docs`` to a new store at ``path`` and compact it once, so that each row is merged once at most.
 
     All columns of ``docs`` are kept; ``run`` and ``v`` name partitions and must not be among them.
     Null text counts as 0 bytes. Repeated rows and null ids are kept. Empty table: no runs.
     """
     store = ShardStore(docs.sparkSession, path, target)
     store.append(docs)
-    while store.compact():
-        pass
+    store.compact()
     return store
 
 
