@@ -46,11 +46,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """``materialise`` in buckets of ``key``: later joins on it shuffle their other side only."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = _table_of(path)
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table)
+
+
+def _table_of(path: str) -> str:
+    return "scratch_" + path.rsplit("-", 1)[1]
+
+
 def drop_scratch() -> None:
     """Delete every scratch table of this process; results that still read one must be written first."""
     while _written:
         spark, path = _written.pop()
         try:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_of(path)}")
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, joined_blocks, materialise, n_parts, part_vectors, sum_blocks, whole_text
+from .common import Memo, joined_blocks, materialise, materialise_by, n_parts, part_vectors, sum_blocks, whole_text
 from .components import components
 
 ORDER_BITS = 20
 SMALL, PIVOTS, FEW, FEW_REGIONS = 16, 8, 500_000, 2_000_000
 #: Shingles of a region that one task may hold.
 HELD = 600_000
+#: Sets of a bucket of the table of sets, and its least number of buckets.
+BUCKET, BUCKETS = 4096, 32
 
 
 def word_memo() -> Memo:
@@ -104,8 +106,9 @@ def documents_with_prefix(texts: DataFrame, width: int, percent: int, rarity: np
 
 
 def sets_of(texts: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFrame:
-    """node, shingles (array) of each of ``nodes`` (node, text_hash of one of its texts)."""
-    small = nodes.count() <= FEW
+    """node, shingles (array) of each of ``nodes`` (node, text_hash of one of its texts), in buckets of the node."""
+    count = nodes.count()
+    small, buckets = count <= FEW, max(BUCKETS, -(-count // BUCKET))
     few = np.sort(np.array([r.node for r in nodes.select("node").collect()], np.int64)) if small else None
     if small:  # only their texts are read on by Python
         texts = texts.join(F.broadcast(nodes.select("text_hash").distinct()), "text_hash", "left_semi")
@@ -130,7 +133,7 @@ def sets_of(texts: DataFrame, nodes: DataFrame, width: int, seed: int) -> DataFr
 
     found = texts.select("text").mapInArrow(sets, "node long, shingles array<long>")
     found = found if few is not None else found.join(nodes, "node", "left_semi")
-    return materialise(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    return materialise_by(found.repartition(buckets, "node").groupBy("node").agg(F.first("shingles").alias("shingles")), "node", buckets, "sets")
 
 
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
