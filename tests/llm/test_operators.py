@@ -202,3 +202,20 @@ def test_shards(spark, docs, tmp_path):
     assert store.rows(store.manifest(0)).count() == d.count()
     store.append(d)
     assert store.rows(store.manifest()).count() == 2 * d.count()
+
+
+@pytest.mark.parametrize("sizes", [[100] * 6, [60, 60, 60, 60, 60], [100, 1, 1, 1], [127] * 9 + [3], [128, 300, 5], [9, 9], [0, 0, 0]])
+def test_shards_are_merged_to_the_end(spark, tmp_path, sizes):
+    store = tiered_shards.ShardStore(spark, str(tmp_path / "s"), target=128)
+    for k, n in enumerate(sizes):
+        store.append(spark.createDataFrame([(k, "x" * n)], "doc_id long, text string").coalesce(1))
+    assert store.compact() == (sum(n < 128 for n in sizes) > 1) and not store.compact()
+    small = [r.bytes for r in store.manifest().collect() if r.bytes < 128]
+    assert len(small) <= 1 and (not small or sum(n for n in sizes if n < 128) < 128 or sum(n < 128 for n in sizes) == 1)
+    assert sorted((r.doc_id, len(r.text)) for r in store.rows(store.manifest()).collect()) == list(enumerate(sizes))
+
+
+def test_stored_is_compacted(spark, docs, tmp_path):
+    store = tiered_shards.stored(docs.select("doc_id", "text", "lang", "source"), str(tmp_path / "s"), target=20_000)
+    assert store.plan().count() == 0 and store.rows(store.manifest()).count() == docs.count()
+    assert all(r.bytes >= 20_000 for r in store.manifest().collect())

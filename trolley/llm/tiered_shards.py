@@ -54,13 +54,17 @@ class ShardStore:
         self._commit(new if self.version < 0 else self.manifest().unionByName(new))
 
     def plan(self) -> DataFrame:
-        """run, v, into: runs below the target, those of one tier in turn until they fill a target-sized file."""
-        order = Window.partitionBy("tier").orderBy("v", "run")
-        before = F.sum("bytes").over(order) - F.col("bytes")
-        group = self.manifest().where(F.col("bytes") < self.target).withColumn("g", F.floor(before / self.target))
-        into = F.xxhash64("tier", "g", F.lit(self.version + 1))
-        both = Window.partitionBy("tier", "g")
-        return group.withColumn("k", F.count("*").over(both)).where("k > 1").select("run", "v", into.alias("into"))
+        """run, v, into: runs below the target, small tiers first, in groups that each fill a target-sized file.
+
+        A run belongs to the window of ``width`` bytes that it starts in. As a run has at most width - target bytes,
+        a window holds the target at least; what follows the last whole window goes with it. The tail of a tier is
+        grouped with the next tier. So once a plan is carried out, at most one run is left below the target.
+        """
+        below, order = Window.partitionBy(), Window.orderBy("tier", "v", "run").rowsBetween(Window.unboundedPreceding, 0)
+        width = self.target + F.max("bytes").over(below)
+        last = F.greatest(F.lit(1), F.floor(F.sum("bytes").over(below) / width)) - 1
+        group = self.manifest().where(F.col("bytes") < self.target).withColumn("g", F.least(F.floor((F.sum("bytes").over(order) - F.col("bytes")) / width), last))
+        return group.withColumn("k", F.count("*").over(Window.partitionBy("g"))).where("k > 1").select("run", "v", F.xxhash64("g", F.lit(self.version + 1)).alias("into"))
 
     def compact(self) -> bool:
         """Merge what the plan says in one job and commit; False if there is nothing to merge."""
@@ -77,14 +81,15 @@ class ShardStore:
 
 
 def stored(docs: DataFrame, path: str, target: int = TARGET) -> ShardStore:
-    """Append ``docs`` to a new store at ``path`` and compact it once, so that each row is merged once at most.
+    """Append ``docs`` to a new store at ``path`` and compact it until there is nothing to merge.
 
     All columns of ``docs`` are kept; ``run`` and ``v`` name partitions and must not be among them.
     Null text counts as 0 bytes. Repeated rows and null ids are kept. Empty table: no runs.
     """
     store = ShardStore(docs.sparkSession, path, target)
     store.append(docs)
-    store.compact()
+    while store.compact():
+        pass
     return store
 
 
