@@ -17,13 +17,16 @@ from . import oracles as o
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 N, STEPS, POWER, TOPICS, ROUNDS = 3, 6, 5, 3, 3
+#: On parts nothing is cut for the SQL's sake: places, steps, power iterations and rounds are the operators' defaults.
+PART_N, PART_STEPS, PART_POWER, PART_TOPICS, PART_ROUNDS = 10, 10, 30, 3, 5
 
 
 class Data:
     """The usual tables of a universe: training counts, statistics, test items."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, universe: str = "brand"):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self.universe = spark, sf_dir, universe
+        self.n, self.steps, self.power, self.topics, self.rounds = (PART_N, PART_STEPS, PART_POWER, PART_TOPICS, PART_ROUNDS) if universe == "part" else (N, STEPS, POWER, TOPICS, ROUNDS)
         self.tx = star_transactions(spark, sf_dir, universe)
         self.train, self.test = interactions.split_by_date(self.tx)
         self.ui = interactions.interactions(self.train)
@@ -49,6 +52,21 @@ def query(name: str, sql: str | None, universe: str = "brand"):
     return register
 
 
+def on_parts(f: Callable[[Data], DataFrame]):
+    """The query also on parts, as <name>_parts, with the brand query's SQL over parts."""
+    for name in [k for k, run in QUERIES.items() if run.__wrapped__ is f]:
+        sql = ORACLES[name].replace(o.base(), o.base("part"))
+        query(f"{name}_parts", sql.replace(o.top(N), o.top(PART_N)) if name in ("reco_conditional", "reco_marginal") else sql, "part")(f)
+    return f
+
+
+def without_sql(f: Callable[[Data], DataFrame]):
+    """The query also on parts, as <name>_parts: unrolled steps are too slow in SQL there, tests compare with dense arrays."""
+    for name in [k for k, run in QUERIES.items() if run.__wrapped__ is f]:
+        query(f"{name}_parts", None, "part")(f)
+    return f
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in names})
 
@@ -70,6 +88,7 @@ def ui_log(d):
     return rounded(interactions.interactions(d.train, "log"), "w")
 
 
+@on_parts
 @query("ui_binary", o.q(o.base(), "SELECT customer, item, CAST(1 AS DOUBLE) AS w FROM ui"))
 def ui_binary(d):
     return interactions.interactions(d.train, "binary")
@@ -98,6 +117,7 @@ def baskets_by_day(d):
     return flat(interactions.baskets(d.test, d.ui, "day", "customer"), "day", "customer")
 
 
+@on_parts
 @query("baskets_by_customer", basket_sql("customer", "brand"))
 def baskets_by_customer(d):
     return flat(interactions.baskets(d.test, d.ui, "customer"), "customer")
@@ -164,11 +184,13 @@ def nnz(d):
     return statistics.nnz(d.ui, "customer")
 
 
+@on_parts
 @query("normalised_by_mean", o.q(o.base(), CELLS, "SELECT customer, item, round(w / (s / n), 6) AS w FROM ui CROSS JOIN c"))
 def by_mean(d):
     return rounded(statistics.normalised_by_mean(d.ui), "w")
 
 
+@on_parts
 @query("standardised", o.q(o.base(), "n AS (SELECT CAST(count(DISTINCT customer) AS DOUBLE) AS n FROM ui)", "c AS (SELECT item, sum(w) / max(n) AS m, sqrt(sum(w * w) / max(n) - (sum(w) / max(n)) * (sum(w) / max(n))) AS d FROM ui CROSS JOIN n GROUP BY item)", "SELECT u.customer, u.item, round((u.w - c.m) / c.d, 6) AS z FROM ui u JOIN c ON u.item = c.item"))
 def standardised(d):
     return rounded(statistics.standardised(d.ui), "z")
@@ -179,6 +201,7 @@ def standardised(d):
 EDGE = "SELECT src, dst, round(w, 6) AS w FROM {}"
 
 
+@query("cooccurrence_edges_parts", o.q(o.base("part"), o.COOC, EDGE.format("edges")), "part")
 @query("cooccurrence", o.q(o.base(), o.COOC, EDGE.format("edges")))
 def cooccurrence(d):
     return rounded(kernels.cooccurrence(d.ui), "w")
@@ -189,11 +212,13 @@ def cooccurrence_parts(d):
     return kernels.cooccurrence(d.ui).groupBy("src").agg(F.count("*").alias("n"), F.sum("w").cast("bigint").alias("w"))
 
 
+@on_parts
 @query("cosine", o.q(o.base(), o.COOC_ALL, "SELECT e.src, e.dst, round(e.w / sqrt(a.w * b.w), 6) AS w FROM dense e JOIN dense a ON a.src = e.src AND a.dst = e.src JOIN dense b ON b.src = e.dst AND b.dst = e.dst"))
 def cosine(d):
     return rounded(kernels.cosine(d.ui), "w")
 
 
+@on_parts
 @query("conditional", o.q(o.base(), o.COND, EDGE.format("edges")))
 def conditional(d):
     return rounded(kernels.conditional(d.ui), "w")
@@ -202,6 +227,7 @@ def conditional(d):
 MARGINAL = "mg AS (SELECT n.item, sum(n.w) / pow(max(s.pop), 1.5) AS w FROM nui n JOIN stats s ON n.item = s.item GROUP BY n.item)"
 
 
+@on_parts
 @query("marginal", o.q(o.base(), o.NUI, MARGINAL, "SELECT item, round(w, 9) AS w FROM mg"))
 def marginal(d):
     return kernels.marginal(d.ui).select("item", F.round("w", 9).alias("w"))
@@ -212,24 +238,28 @@ def root_distance(d):
     return rounded(kernels.root_distance(kernels.cooccurrence(d.ui, True), d.stats.select("item")), "w")
 
 
+@on_parts
 @query("transition", o.q(o.base(), o.TRANS, EDGE.format("t")))
 def transition(d):
     return rounded(kernels.transition(d.ui), "w")
 
 
+@on_parts
 @query("transition_column_sums", o.q(o.base(), "SELECT item AS dst, CAST(1.0 AS DOUBLE) AS w FROM stats"))
 def column_sums(d):
     return kernels.transition(d.ui, True).groupBy("dst").agg(F.round(F.sum("w"), 6).alias("w"))
 
 
+@on_parts
 @query("to_probability", o.q(o.base(), o.COOC, o.PROB, EDGE.format("p")))
 def to_probability(d):
     return rounded(kernels.to_probability(kernels.cooccurrence(d.ui)), "w")
 
 
+@without_sql
 @query("biased_transition", o.q(o.base(), o.COOC, o.PROB, o.biased(1.0, POWER), EDGE.format("bp")))
 def biased(d):
-    return rounded(kernels.biased(d.kept(kernels.to_probability(kernels.cooccurrence(d.ui))), d.kept(d.stats), 1.0, POWER), "w")
+    return rounded(kernels.biased(d.kept(kernels.to_probability(kernels.cooccurrence(d.ui))), d.kept(d.stats), 1.0, d.power), "w")
 
 
 # recommendations
@@ -240,6 +270,7 @@ def reco_cooccurrence(d):
     return ranks(ranking.recommend(d.items, kernels.cooccurrence(d.ui), 10))
 
 
+@on_parts
 @query("reco_full_ranking", o.q(o.base(), o.COOC, o.scored(), o.top(1000), o.RECO))
 def reco_full(d):
     return ranks(ranking.recommend(d.items, kernels.cooccurrence(d.ui), -1))
@@ -250,16 +281,18 @@ def reco_popularity(d):
     return ranks(ranking.ranked(ranking.popularity_scores(d.items, d.stats, 10), 10))
 
 
+@on_parts
 @query("reco_conditional", o.q(o.base(), o.COND, o.scored(), o.top(N), o.RECO))
 def reco_conditional(d):
-    return ranks(ranking.recommend(d.items, kernels.conditional(d.ui), N))
+    return ranks(ranking.recommend(d.items, kernels.conditional(d.ui), d.n))
 
 
+@on_parts
 @query("reco_marginal", o.q(o.base(), o.NUI, MARGINAL, "scores AS (SELECT a.basket, m.item, a.k * m.w AS score FROM (SELECT basket, count(*) AS k FROM bi GROUP BY basket) a CROSS JOIN mg m LEFT JOIN bi b ON a.basket = b.basket AND m.item = b.item WHERE b.item IS NULL)", o.top(N), o.RECO))
 def reco_marginal(d):
     from ..functions.models import Marginal
 
-    return ranks(Marginal().fit(d.ui).recommend(d.items, N))
+    return ranks(Marginal().fit(d.ui).recommend(d.items, d.n))
 
 
 @query("reco_novel", o.q(o.base("part"), o.COOC, o.scored(), o.NOVEL.format(e="bi"), o.top(10, "fresh"), o.RECO), "part")
@@ -269,11 +302,18 @@ def reco_novel(d):
 
 
 def starts(d: Data) -> DataFrame:
+    """Brands: each item. Parts: the baskets, which are fewer than the parts."""
+    if d.universe == "part":
+        d.items = d.kept(d.items)
+        return d.items.select(F.col("basket").alias("id"), "item", F.lit(1.0).alias("s"))
     return d.stats.select(F.col("item").alias("id"), "item", F.lit(1.0).alias("s"))
 
 
 def walked(d: Data, reach: DataFrame) -> DataFrame:
     """Walks are linear: those from each item of a basket add up."""
+    if d.universe == "part":
+        scores = reach.select(F.col("id").alias("basket"), "item", F.col("s").alias("score"))
+        return ranks(ranking.ranked(ranking.without_evidence(scores, d.items), d.n))
     return ranks(ranking.recommend(d.items, reach.select(F.col("id").alias("src"), F.col("item").alias("dst"), F.col("s").alias("w")), N))
 
 
@@ -281,39 +321,45 @@ def walk_sql(alpha: float, edges: str, *before: str, back: bool = False) -> str:
     return o.q(o.base(), *before, o.EACH, o.walk("each_item", edges, alpha, STEPS, back), o.summed(STEPS), o.top(N), o.RECO)
 
 
+@without_sql
 @query("reco_basket_walk", walk_sql(0.8, "t", o.TRANS, back=True))
 def reco_basket_walk(d):
-    return walked(d, walks.basket_walk(starts(d), d.kept(kernels.transition(d.ui)), 0.8, STEPS))
+    return walked(d, walks.basket_walk(starts(d), d.kept(kernels.transition(d.ui)), 0.8, d.steps))
 
 
+@without_sql
 @query("reco_basket_walk_pop", walk_sql(0.8, "tp", o.TRANS, "tp AS (SELECT t.src, t.dst, t.w * exp(-500.0 * s.prior) AS w FROM t JOIN stats s ON t.dst = s.item)", back=True))
 def reco_basket_walk_pop(d):
-    return walked(d, walks.basket_walk(starts(d), d.kept(kernels.damped(kernels.transition(d.ui), d.stats, 500.0)), 0.8, STEPS))
+    return walked(d, walks.basket_walk(starts(d), d.kept(kernels.damped(kernels.transition(d.ui), d.stats, 500.0)), 0.8, d.steps))
 
 
+@without_sql
 @query("reco_restart_walk", walk_sql(0.5, "p", o.COOC, o.PROB))
 def reco_restart_walk(d):
-    return walked(d, walks.restart_walk(starts(d), d.kept(kernels.to_probability(kernels.cooccurrence(d.ui))), 0.5, STEPS))
+    return walked(d, walks.restart_walk(starts(d), d.kept(kernels.to_probability(kernels.cooccurrence(d.ui))), 0.5, d.steps))
 
 
+@without_sql
 @query("reco_restart_walk_bn", walk_sql(0.5, "p", o.TRANS, o.PROB.replace("edges", "t")))
 def reco_restart_walk_bn(d):
-    return walked(d, walks.restart_walk(starts(d), d.kept(kernels.to_probability(kernels.transition(d.ui))), 0.5, STEPS))
+    return walked(d, walks.restart_walk(starts(d), d.kept(kernels.to_probability(kernels.transition(d.ui))), 0.5, d.steps))
 
 
+@without_sql
 @query("reco_biased_walk", walk_sql(0.5, "bp", o.COOC, o.PROB, o.biased(1.0, POWER)))
 def reco_biased_walk(d):
     base = d.kept(kernels.to_probability(kernels.cooccurrence(d.ui)))
-    return walked(d, walks.restart_walk(starts(d), d.kept(kernels.biased(base, d.kept(d.stats), 1.0, POWER)), 0.5, STEPS))
+    return walked(d, walks.restart_walk(starts(d), d.kept(kernels.biased(base, d.kept(d.stats), 1.0, d.power)), 0.5, d.steps))
 
 
+@without_sql
 @query("reco_paths", o.q(o.base(), o.TRANS, o.paths(0.5, 0.9, 4), "scores AS (SELECT a.basket, a.item, a.s * b.s / z.z AS score FROM zf a JOIN zb b ON a.basket = b.basket AND a.item = b.item JOIN z ON a.basket = z.basket LEFT JOIN bi e ON a.basket = e.basket AND a.item = e.item WHERE e.item IS NULL)", o.top(N), o.RECO))
 def reco_paths(d):
     top = d.stats.agg(F.max("prior").alias("s"))
     edges = d.kept(kernels.damped(kernels.transition(d.ui), d.stats, 0.9, top).withColumn("w", 0.5 * F.col("w")))
     items = d.kept(d.items)
-    found = walks.path_betweenness(items.select(F.col("basket").alias("id"), "item"), edges, 4)
-    return ranks(ranking.ranked(found.select(F.col("id").alias("basket"), "item", F.col("s").alias("score")), N))
+    found = walks.path_betweenness(items.select(F.col("basket").alias("id"), "item"), edges, PART_STEPS if d.universe == "part" else 4)
+    return ranks(ranking.ranked(found.select(F.col("id").alias("basket"), "item", F.col("s").alias("score")), d.n))
 
 
 # topics
@@ -323,56 +369,65 @@ FACTORS = o.plsa(TOPICS, ROUNDS)
 
 def trained(d: Data) -> topics.Plsa:
     d.ui = d.kept(d.ui)
-    return topics.train(d.ui, TOPICS, ROUNDS)
+    return topics.train(d.ui, d.topics, d.rounds)
 
 
+@without_sql
 @query("plsa_words", o.q(o.base(), FACTORS, f"SELECT item, z, round(p, 6) AS p FROM w{ROUNDS}"))
 def plsa_words(d):
     return rounded(trained(d).p_w, "p")
 
 
+@without_sql
 @query("plsa_documents", o.q(o.base(), FACTORS, f"SELECT customer, z, round(p, 6) AS p FROM d{ROUNDS}"))
 def plsa_documents(d):
     return rounded(trained(d).p_d, "p")
 
 
+@without_sql
 @query("plsa_log_likelihood", o.q(o.base(), FACTORS, f"SELECT round(sum(w * ln(q)), 3) AS value FROM (SELECT u.customer, u.item, u.w, sum(c.p * a.p * b.p) AS q FROM ui u JOIN w{ROUNDS} a ON u.item = a.item JOIN d{ROUNDS} b ON u.customer = b.customer AND a.z = b.z JOIN z{ROUNDS} c ON a.z = c.z GROUP BY u.customer, u.item, u.w) x WHERE q > 0"))
 def plsa_likelihood(d):
     return topics.log_likelihood(d.ui, trained(d)).select(F.round("value", 3).alias("value"))
 
 
+@without_sql
 @query("plsa_topics_of_documents", o.q(o.base(), FACTORS, f"SELECT customer, z, round(p / sum(p) OVER (PARTITION BY customer), 6) AS p FROM (SELECT d.customer, d.z, d.p * c.p AS p FROM d{ROUNDS} d JOIN z{ROUNDS} c ON d.z = c.z) x"))
 def plsa_topics(d):
     m = trained(d)
     return rounded(topics.topics_of(m.p_d, m.p_z, "customer"), "p")
 
 
+@without_sql
 @query("plsa_word_clusters", o.q(o.base(), FACTORS, f"SELECT item, z FROM (SELECT item, z, row_number() OVER (PARTITION BY item ORDER BY round(p, 12) DESC, z) AS r FROM (SELECT w.item, w.z, w.p * c.p / sum(w.p * c.p) OVER (PARTITION BY w.item) AS p FROM w{ROUNDS} w JOIN z{ROUNDS} c ON w.z = c.z) x) y WHERE r = 1"))
 def plsa_clusters(d):
     m = trained(d)
     return topics.cluster_of(topics.topics_of(m.p_w, m.p_z, "item"), "item")
 
 
+@without_sql
 @query("plsa_topic_labels", o.q(o.base(), FACTORS, f"SELECT z, item, CAST(r AS BIGINT) AS rank FROM (SELECT z, item, row_number() OVER (PARTITION BY z ORDER BY round(p, 12) DESC, item DESC) AS r FROM w{ROUNDS}) x WHERE r <= 10"))
 def plsa_labels(d):
     return topics.topic_labels(trained(d).p_w).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@without_sql
 @query("plsa_smoothed", o.q(o.base(), FACTORS, f"SELECT u.customer, u.item, round(sum(a.p * b.p), 9) AS p FROM ui u JOIN w{ROUNDS} a ON u.item = a.item JOIN d{ROUNDS} b ON u.customer = b.customer AND a.z = b.z GROUP BY u.customer, u.item"))
 def plsa_smoothed(d):
     return topics.smoothed(d.ui, trained(d)).select("customer", "item", F.round("p", 9).alias("p"))
 
 
+@without_sql
 @query("plsa_global_weights", o.q(o.base(), FACTORS, f"SELECT w.z, round(sum(s.prior * w.p), 9) AS value FROM w{ROUNDS} w JOIN stats s ON w.item = s.item GROUP BY w.z"))
 def plsa_weights(d):
     return topics.global_weights(trained(d).p_w, d.stats.select("item", F.col("prior").alias("gw"))).select("z", F.round("value", 9).alias("value"))
 
 
+@without_sql
 @query("reco_plsa", None)
 def reco_plsa(d):
     from ..functions.models import Topics
 
-    return ranks(Topics(TOPICS, ROUNDS).fit(d.kept(d.ui)).recommend(d.items, N))
+    return ranks(Topics(d.topics, d.rounds).fit(d.kept(d.ui)).recommend(d.items, d.n))
 
 
 @query("lsa_smoothed", None)
@@ -383,31 +438,37 @@ def lsa_smoothed(d):
 # metrics
 
 
+@on_parts
 @query("metric_rare_item_hit", o.pop_hit(N))
 def metric_pop(d):
     return evaluation.rare_item_hit(d.items, kernels.cooccurrence(d.ui), d.stats, N)
 
 
+@on_parts
 @query("metric_shuffled_hit", o.rnd_hit(N))
 def metric_rnd(d):
     return evaluation.shuffled_hit(d.items, kernels.cooccurrence(d.ui), N)
 
 
+@on_parts
 @query("metric_leave_one_out", o.whr(N))
 def metric_whr(d):
     return rounded(evaluation.weighted_leave_one_out(d.items, kernels.cooccurrence(d.ui), d.stats, N), "value")
 
 
+@on_parts
 @query("metric_novelty", o.novelty(N))
 def metric_novelty(d):
     return rounded(evaluation.novelty(d.items, kernels.cooccurrence(d.ui), d.stats, N, statistics.mean_of_top_priors(d.stats)), "value")
 
 
+@on_parts
 @query("metric_mean_prior", o.q(o.base(), o.COOC, o.scored(), o.top(N), "SELECT b.basket, round(avg(s.prior), 6) AS value FROM best b JOIN stats s ON b.item = s.item GROUP BY b.basket"))
 def metric_prior(d):
     return rounded(evaluation.mean_prior(ranking.recommend(d.items, kernels.cooccurrence(d.ui), N), d.stats), "value")
 
 
+@on_parts
 @query("mean_performance", o.q(o.base(), o.COOC, o.eligible(N), o.hidden(o.SHUFFLE, N), o.scored("ev"), o.top(N), o.hit("m"), "SELECT 'shuffled_hit' AS metric, round(sum(value) / (SELECT count(DISTINCT basket) FROM bi), 6) AS mean, round(avg(value), 6) AS mean_eligible FROM m"))
 def mean_performance(d):
     return rounded(evaluation.mean_performance({"shuffled_hit": evaluation.shuffled_hit(d.items, kernels.cooccurrence(d.ui), N)}, d.items), "mean", "mean_eligible")
