@@ -219,3 +219,13 @@ def test_stored_is_compacted(spark, docs, tmp_path):
     store = tiered_shards.stored(docs.select("doc_id", "text", "lang", "source"), str(tmp_path / "s"), target=20_000)
     assert store.plan().count() == 0 and store.rows(store.manifest()).count() == docs.count()
     assert all(r.bytes >= 20_000 for r in store.manifest().collect())
+
+
+def test_repeated_queries_lose_no_neighbour(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((100, 8)).astype(np.float32).astype(float)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, x[1].tolist()), (1, x[1].tolist()), (2, x[2].tolist()), (2, x[3].tolist())], "query_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in multi_index.neighbours(v, asked, k=5).collect())
+    want = [(q, k + 1, i) for q, row in ((1, 1), (2, 2), (2, 3)) for k, i in enumerate([i for i in np.argsort(-(x @ x[row]), kind="stable") if i != q][:5])]
+    assert got == sorted(want)

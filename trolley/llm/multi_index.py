@@ -76,7 +76,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, enough: int
 
     Vectors that are null, zero, of another size, or hold null or non-finite components take no part,
     nor do null ids. A row with the query's own id is no candidate. Repeated rows are candidates
-    each. Fewer candidates than k: all. Empty tables: no rows. Other columns are ignored.
+    each; a query's repeated row is asked once, and other vectors under its id are queries of their own.
+    Fewer candidates than k: all. Empty tables: no rows. Other columns are ignored.
     """
     if dim is None:
         row = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -117,37 +118,39 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, enough: int
                 by: dict[int, list[int]] = {}
                 for c in pairs_in_order(a[k], b[k], count, enough):
                     by.setdefault(c // wide, []).append(c % wide)
-                out += [(pdf["query_id"].iloc[k], pdf["embedding"].iloc[k], i, j, seconds) for i, seconds in by.items() for j in range(blocks[i])]
-            yield pd.DataFrame(out, columns=["query_id", "embedding", "first", "block", "seconds"])
+                out += [(pdf["query_id"].iloc[k], pdf["query"].iloc[k], pdf["embedding"].iloc[k], i, j, seconds) for i, seconds in by.items() for j in range(blocks[i])]
+            yield pd.DataFrame(out, columns=["query_id", "query", "embedding", "first", "block", "seconds"])
 
-    asked = clean(queries.withColumnRenamed("query_id", "vec_id"), dim).withColumnRenamed("vec_id", "query_id")
-    visits = asked.mapInPandas(visit, "query_id long, embedding array<double>, first int, block int, seconds array<int>")
+    asked = clean(queries.withColumnRenamed("query_id", "vec_id"), dim).withColumnRenamed("vec_id", "query_id").withColumn("query", F.xxhash64("embedding"))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = asked.repartition(tasks, "query_id", "query").dropDuplicates(["query_id", "query"])  # few bytes a query, but a long walk: the number keeps them apart
+    visits = asked.mapInPandas(visit, "query_id long, query long, embedding array<double>, first int, block int, seconds array<int>")
     number = F.element_at(F.create_map(*(F.lit(x) for i, n in blocks.items() for x in (i, n))), F.col("first"))
     placed = index.withColumn("first", F.floor(F.col("cell") / wide).cast("int")).withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), number).cast("int"))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The best k of one block for each query that visits some of its cells."""
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "query": [], "vec_id": [], "score": []})
         right = right.sort_values("vec_id", kind="stable")
         ids, v, second = right["vec_id"].to_numpy(), np.array(right["embedding"].tolist()), right["cell"].to_numpy() % wide
         out = []
         for at in range(0, len(left), 512):
             own = left.iloc[at : at + 512]
             scores = np.array(own["embedding"].tolist()) @ v.T
-            for q, s, seconds in zip(own["query_id"], scores, own["seconds"], strict=True):
+            for q, h, s, seconds in zip(own["query_id"], own["query"], scores, own["seconds"], strict=True):
                 on = np.zeros(wide, bool)
                 on[seconds] = True
                 s = np.where(on[second] & (ids != q), s, -np.inf)
                 cut = np.partition(s, -k)[-k] if len(s) > k else -np.inf
                 keep = np.flatnonzero((s >= cut) & (s > -np.inf))
                 keep = keep[np.argsort(-s[keep], kind="stable")][:k]
-                out.append((np.full(len(keep), q), ids[keep], s[keep]))
-        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+                out.append((np.full(len(keep), q), np.full(len(keep), h), ids[keep], s[keep]))
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("query_id", "query", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
-    found = visits.groupBy("first", "block").cogroup(placed.groupBy("first", "block")).applyInPandas(rank, "query_id long, vec_id long, score double")
+    found = visits.groupBy("first", "block").cogroup(placed.groupBy("first", "block")).applyInPandas(rank, "query_id long, query long, vec_id long, score double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)  # k rows a visited block at most
-    ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("r", "b"))
+    ranked = found.groupBy("query_id", "query").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("r", "b"))
     return ranked.select("query_id", (F.col("r") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
