@@ -229,3 +229,13 @@ def test_repeated_queries_lose_no_neighbour(spark):
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in multi_index.neighbours(v, asked, k=5).collect())
     want = [(q, k + 1, i) for q, row in ((1, 1), (2, 2), (2, 3)) for k, i in enumerate([i for i in np.argsort(-(x @ x[row]), kind="stable") if i != q][:5])]
     assert got == sorted(want)
+
+
+def test_one_of_each_keeps_unrelated_texts_of_an_id(spark):
+    text = lambda name, n=60: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(3, text("a")), (5, text("a") + " end"), (5, text("b")), (6, text("c")), (6, text("d")), (7, text("e")), (7, text("e")), (8, text("e") + " end"), (7, text("e") + " last"), (9, ""), (9, ""), (None, text("a")), (None, text("a"))]
+    got = jaccard_regions.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sevens = [r for r in got if r.doc_id == 7]
+    assert len(sevens) == 1 and sevens[0].text in (text("e"), text("e") + " last")
+    want = [(3, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (9, ""), (9, ""), (None, text("a")), (None, text("a"))]
+    assert sorted((str(r.doc_id), r.text) for r in got if r.doc_id != 7) == sorted((str(d), t) for d, t in want)

@@ -279,18 +279,8 @@ def narrowed(cells: DataFrame, percent: int) -> DataFrame:
     return materialise(rows.drop("nb"), "narrowed")
 
 
-def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``; links are pairs at ``percent`` or more.
-
-    Rows with equal sets are one node. Regions of one node end in an aggregate that keeps two nodes
-    a region; only what is left is read again, and its sets are built anew from the texts. No
-    component is brought to the driver, and no region is ever expanded into all its pairs unless it
-    has SMALL members at most.
-
-    Null or empty text, or no words: an empty set, linked with nothing. Null id: the row links as any
-    other and the least id of the others names the component; null if there is none. Repeated ids and
-    rows: each row counts. Empty table: no rows. Other columns are ignored.
-    """
+def labelled_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n (shingles), label of every row of ``docs``; rows of a component share the label, null for empty sets."""
     texts = whole_text(docs).withColumn("text_hash", F.xxhash64("text"))
     rarity, seed = shingle_counts(texts, width), 1
     while True:
@@ -310,25 +300,46 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     sets = sets_of(texts, nodes, width, seed)
     labels = components(region_links(cells, sets, percent))
     labels = F.broadcast(labels) if labels.count() <= FEW else labels
-    placed = rows.select("doc_id", "n", "node").join(labels, "node", "left").select("doc_id", "n", F.coalesce("label", "node").alias("label"))
+    return rows.select("doc_id", "text_hash", "n", "node").join(labels, "node", "left").select("doc_id", "text_hash", "n", F.coalesce("label", "node").alias("label"))
+
+
+def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; links are pairs at ``percent`` or more.
+
+    Rows with equal sets are one node. Regions of one node end in an aggregate that keeps two nodes
+    a region; only what is left is read again, and its sets are built anew from the texts. No
+    component is brought to the driver, and no region is ever expanded into all its pairs unless it
+    has SMALL members at most.
+
+    Null or empty text, or no words: an empty set, linked with nothing. Null id: the row links as any
+    other and the least id of the others names the component; null if there is none. Repeated ids and
+    rows: each row counts. Empty table: no rows. Other columns are ignored.
+    """
+    placed = labelled_rows(docs, width, percent)
     least = placed.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for those whose component has a lesser id; of equal ids in one component, one row.
+    """One row of each component of ``docs``: of the least id, and of the least text hash where that id repeats in it.
 
-    Rows with a null id are kept.
+    Rows are told apart by id and text, so an id that repeats with unrelated texts keeps a row of each.
+    Rows with a null id or an empty set are kept.
     """
-    found = materialise(jaccard_components(docs, width, percent), "components")
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_d")).distinct()
+    found = materialise(labelled_rows(docs, width, percent).where("doc_id is not null and label is not null"), "components")
+    first = found.groupBy("label").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "text_hash")).alias("first")).where("rows > 1").select("label", "first")
+    first = materialise(first, "first")
+    first = F.broadcast(first) if first.count() <= FEW else first
+    shared = materialise(found.join(first, "label").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), (F.struct("doc_id", "text_hash") == F.col("first")).alias("stays")), "shared-rows")
+    losers = shared.where("not stays").select("_d", "_h").distinct()
     losers = F.broadcast(losers) if losers.count() <= FEW else losers
-    out = docs.join(losers, F.col("doc_id").cast("long") == F.col("_d"), "left_anti")
-    again = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_d"))
-    if again.limit(1).count() == 0:
-        return out
-    twice = F.col("doc_id").cast("long") == F.col("_d")
-    return out.join(again, twice, "left_anti").unionByName(out.join(again, twice, "left_semi").dropDuplicates(["doc_id"]))
+    same = lambda rows: [F.col("_id") == rows["_d"], F.col("_text") == rows["_h"]]
+    named = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    out = named.join(losers, same(losers), "left_anti")
+    again = shared.where("stays").groupBy("_d", "_h").count().where("count > 1").select("_d", "_h")
+    if again.limit(1).count():
+        out = out.join(again, same(again), "left_anti").unionByName(out.join(again, same(again), "left_semi").dropDuplicates(["_id", "_text"]))
+    return out.drop("_id", "_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
