@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 END_ID = 0
+#: Rows of a table that may be sent to every executor, and of a key that a shuffle may bring to one task.
+FEW, HOT = 500_000, 1_000_000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -43,7 +45,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = table.__dict__.get("_scratch")
+        for entry in [e for e in _written if e[1] == path]:
+            _written.remove(entry)
+            _delete(*entry)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {_table_of(path)}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def materialise_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
@@ -52,7 +71,9 @@ def materialise_by(df: DataFrame, key: str, buckets: int, name: str) -> DataFram
     path = scratch_path(spark, name)
     table = _table_of(path)
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    out._scratch = path
+    return out
 
 
 def _table_of(path: str) -> str:
@@ -62,12 +83,8 @@ def _table_of(path: str) -> str:
 def drop_scratch() -> None:
     """Delete every scratch table of this process; results that still read one must be written first."""
     while _written:
-        spark, path = _written.pop()
         try:
-            spark.sql(f"DROP TABLE IF EXISTS {_table_of(path)}")
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(*_written.pop())
         except Exception:  # the session has ended
             return
 
@@ -75,6 +92,31 @@ def drop_scratch() -> None:
 atexit.register(drop_scratch)
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` made longer until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def looked_up(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """Left join with a table of one row a key: sent to every executor if it was counted to be small; if not, only
+    its rows for keys of over HOT rows are, so that no key's rows meet in one task."""
+    if side.count() <= FEW:
+        return rows.join(F.broadcast(side), key, "left")
+    hot = materialise(rows.where(F.col(key).isNotNull()).groupBy(key).count().where(f"count > {HOT}").select(key), "hot")
+    if hot.limit(1).count() == 0:
+        return rows.join(side, key, "left")
+    hot = F.broadcast(hot)  # a HOT-th of the rows at most
+    cold = rows.join(hot, key, "left_anti").join(side, key, "left")
+    return cold.unionByName(rows.join(hot, key, "left_semi").join(F.broadcast(side.join(hot, key, "left_semi")), key, "left"))
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
