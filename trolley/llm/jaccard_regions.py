@@ -3,8 +3,9 @@
 Documents that share nothing are at distance one from each other and from every pivot, so on a whole
 corpus nearly all distances are one and document pivots alone part nothing (the README has figures). The
 space is therefore cut into neighbourhoods first: a set is dealt by hash into more parts than a partner
-within the threshold may differ in shingles, so that such a pair has a part in common, whole and not
-empty; sets that are chained by equal parts are one neighbourhood. That is exact, and needs no counts.
+within the threshold may differ in shingles, so that such a pair has parts in common, whole and not
+empty. Sets that share too few parts for any partner leave, and what is left is chained by the rarest
+parts it needs into neighbourhoods. That is exact: it loses no pair within the threshold.
 
 Within every neighbourhood, from two sets on, the join is by pivots: sets taken far-first, their exact
 distances to all, Voronoi regions of the nearest pivot and one for sets that share nothing with any of
@@ -30,7 +31,7 @@ from .components import components
 
 PIVOTS, SAMPLE, LEAF = 8, 32, 4
 #: Shingles of a neighbourhood that one task may hold, and of pivots that every executor may.
-HELD, SENT = 1_000_000, 4_000_000
+HELD, SENT = 4_000_000, 4_000_000
 #: Parts of sets that may be sent to every executor; shingles a task; sets of a bucket, and the least number of buckets.
 FEW_PARTS, TASK, BUCKET, BUCKETS = 2_000_000, 4_000_000, 4096, 32
 ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -73,18 +74,19 @@ def level_of(n: int, percent: int) -> int:
     return (max(apart + 1, -(-10 * apart // 9)) - 1).bit_length() if apart else 0
 
 
-def parts_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the parts of a set; two different sets within the threshold have one in common.
+def parts_of(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """(spare, names of the parts) of a set at each level it is dealt at.
 
-    A pair is dealt into the parts of its smaller set, so a set is dealt at every level that a smaller
-    partner may have. Of parts that are not empty, each shingle of the difference spoils one; a set
-    that has too few of them is also dealt at the next level, and so is its partner if it has too few
-    as well; if not, the partner's own parts are enough.
+    A pair within the threshold is dealt into the parts of its smaller set, so a set is dealt at every
+    level that a smaller partner may have. Of parts that are not empty, each shingle of the difference
+    spoils one, so a partner shares more than ``spare`` of them, whichever they are. A set that has too
+    few parts is also dealt at the next level, and so is its partner if it has too few as well; if not,
+    the partner's own parts are enough.
     """
     n, out, done = len(s), [], set()
     apart = most_apart(n, percent)
     if not apart:
-        return np.zeros(0, np.uint64)
+        return []
     mixed = (s ^ (s >> np.uint64(32))) * ODD[1]
     mixed ^= mixed >> np.uint64(29)
     least = max(1, level_of(-(-percent * n // 100), percent))
@@ -94,15 +96,16 @@ def parts_of(s: np.ndarray, percent: int) -> np.ndarray:
             top = s >> np.uint64(64 - level)
             starts = np.concatenate([[0], np.flatnonzero(top[1:] != top[:-1]) + 1])
             names = (np.add.reduceat(mixed, starts) ^ np.uint64(level)) * ODD[0]
-            out.append(names ^ (names >> np.uint64(31)))
+            out.append((max(0, len(starts) - apart - 1), names ^ (names >> np.uint64(31))))
             if len(starts) > apart:
                 break
             level += 1
-    return np.concatenate(out)
+    return out
 
 
 def documents(texts: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """doc_id, text_hash, n, node, digest, parts; a task gives a node's parts once in a while only."""
+    """doc_id, text_hash, n, node, digest, dealt (parts by level); a task gives a node's parts once in a while only."""
+    kind = pa.list_(pa.struct([("spare", pa.int32()), ("parts", pa.list_(pa.int64()))]))
 
     def read(batches):
         memo, known = word_memo(), set()
@@ -120,22 +123,53 @@ def documents(texts: DataFrame, width: int, percent: int, seed: int) -> DataFram
                 if len(known) >= 200_000:
                     known.clear()
                 known.add(node)
-                parts.append(parts_of(s, percent).view(np.int64))
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "digest": pa.array(digests, pa.binary()), "parts": pa.array(parts, pa.list_(pa.int64()))})
+                parts.append([{"spare": spare, "parts": names.view(np.int64)} for spare, names in parts_of(s, percent)])
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64()), "digest": pa.array(digests, pa.binary()), "dealt": pa.array(parts, kind)})
+
+    return materialise(texts.mapInArrow(read, "doc_id long, text_hash long, n long, node long, digest binary, dealt array<struct<spare:int,parts:array<long>>>"), "documents")
 
-    return materialise(texts.mapInArrow(read, "doc_id long, text_hash long, n long, node long, digest binary, parts array<long>"), "documents")
+
+def shared_parts(rows: DataFrame) -> DataFrame:
+    """part, node, level, spare of parts in several sets, of sets that share more parts than they can spare.
+
+    A set that shares no more has no partner. Without it others share less, so this goes on while it
+    leaves out a tenth or more of what is left.
+    """
+    member = rows.where("dealt is not null").select("node", F.posexplode("dealt").alias("level", "d")).select("node", "level", "d.spare", F.explode("d.parts").alias("part"))
+
+    def several(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("part").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("part")
+
+    many = materialise(several(member), "several")
+    many_side = F.broadcast(many) if many.count() <= FEW_PARTS else many
+    shared = materialise(member.join(many_side, "part").distinct(), "shared-parts")
+    discard(many)
+    before = shared.count()
+    while before:
+        enough = shared.groupBy("node", "level").agg(F.count("*").alias("k"), F.first("spare").alias("spare")).where("k > spare").select("node", "level")
+        active = shared.join(enough, ["node", "level"], "left_semi")
+        after = materialise(active.join(several(active), "part", "left_semi"), "shared-parts")
+        discard(shared)
+        shared, now = after, after.count()
+        if 10 * now > 9 * before:
+            break
+        before = now
+    return shared
 
 
 def neighbourhoods(rows: DataFrame) -> DataFrame:
-    """node, label: sets that are chained by equal parts, under their least node; others are left out."""
-    member = rows.where("parts is not null").select(F.explode("parts").alias("part"), "node")
-    shared = member.groupBy("part").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k")).where("lo < hi")
-    shared = materialise(shared, "shared-parts")
-    more = shared.where("k > 2").select("part", "lo")
-    more = F.broadcast(more) if more.count() <= FEW_PARTS else more
-    edges = shared.select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionByName(member.join(more, "part").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")))
+    """node, label: sets that are chained by equal parts, under their least node; others are left out.
+
+    Of its shared parts a set needs one more than it can spare, and takes the rarest.
+    """
+    shared = shared_parts(rows)
+    rarity = shared.groupBy("part").agg(F.count("*").alias("k"))
+    counted = shared.join(rarity, "part").groupBy("node", "level").agg(F.first("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("k", "part"))).alias("parts"))  # a set's own
+    rarest = materialise(counted.select("node", F.explode(F.slice("parts", F.lit(1), F.greatest(F.size("parts") - F.col("spare"), F.lit(0)))).alias("x")).select("node", "x.part"), "rarest")
+    first = rarest.groupBy("part").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    edges = rarest.join(first.select("part", "lo"), "part").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b"))
     found = components(edges.distinct())
-    discard(shared)
+    discard(shared, rarest)
     return found
 
 
