@@ -80,9 +80,8 @@ def find(parent, a):
     return a
 
 
-@pytest.mark.parametrize("small,held", [(16, 600_000), (2, 600_000), (2, 10)])
-def test_jaccard(docs, rows, nothing, monkeypatch, small, held):
-    monkeypatch.setattr(jaccard_regions, "SMALL", small)
+@pytest.mark.parametrize("held", [1_000_000, 300])
+def test_jaccard(docs, rows, nothing, monkeypatch, held):
     monkeypatch.setattr(jaccard_regions, "HELD", held)
     sets = []
     for r in rows:
@@ -104,6 +103,36 @@ def test_jaccard(docs, rows, nothing, monkeypatch, small, held):
     assert jaccard_regions.one_of_each(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_parts_and_regions_lose_no_link(percent):
+    """Sets that differ a little in many ways, in one region of several levels, and in parts."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in (1, 2, 3, 5, 7, 8, 13, 40, 200):
+        for _ in range(4):
+            base = rng.integers(1, 1 << 63, size).astype(np.uint64)
+            sets.append(np.unique(base))
+            for _ in range(12):
+                kept = base[rng.random(size) < rng.choice([0.7, 0.9, 0.95, 0.99])]
+                more = rng.integers(1, 1 << 63, rng.integers(0, max(2, size // 6))).astype(np.uint64)
+                if len(both := np.unique(np.concatenate([kept, more]))):
+                    sets.append(both)
+    sets = list({s.tobytes(): s for s in sets}.values())
+    parts = [[(spare, set(x.tolist())) for spare, x in jaccard_regions.parts_of(s, percent)] for s in sets]
+    own = [set(s.tolist()) for s in sets]
+    parent = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b]):
+                assert any(len(x & y) > max(i, j) for i, x in parts[a] for j, y in parts[b]) or percent == 100
+                x, y = find(parent, a), find(parent, b)
+                parent[max(x, y)] = min(x, y)
+    region = jaccard_regions.Region(sets, percent)
+    labels = region.join()
+    assert len({(find(parent, k), labels[k]) for k in range(len(sets))}) == len({find(parent, k) for k in range(len(sets))}) == len(set(labels.tolist()))
+    assert sum(d for _, d in region.took.values()) < len(sets) ** 2 / 2 and (percent < 85 or len(region.took) > 1)
+
+
 def test_secrets(spark, docs, nothing):
     rng = random.Random(5)
     key = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(32))
