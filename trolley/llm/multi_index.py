@@ -137,14 +137,14 @@ def merged(found: DataFrame, k: int, blocks: int) -> DataFrame:
         found = found.select("query_id", "query", "block", F.explode("best").alias("b")).select("query_id", "query", "block", F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.93, dim: int | None = None, seed: int = 13) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: float = 0.95, dim: int | None = None, seed: int = 13) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (query_id, embedding) the k of ``vectors`` with the largest inner products found.
 
     Codebooks of both halves, 8 centroids to the square root of the number of vectors (MOST_CENTROIDS at
     most, so that counts of their pairs fit every executor), are fitted on SAMPLE vectors at most, drawn
     by a hash of the id; all vectors are indexed under their pair. Each query walks the pairs from the
     largest sum of inner products until they hold enough vectors, a number that is measured on PROBES
-    vectors to give ``recall``; only vectors of visited pairs are ranked, by exact double products. Vectors
+    vectors to give ``recall`` (1: all vectors); only vectors of visited pairs are ranked, by exact double products. Vectors
     lie in blocks of about BLOCK by first centroid, and a query goes to blocks it visits.
 
     Vectors that are null, zero, of another size than ``dim`` (the most frequent one), or hold null or
@@ -177,7 +177,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, recall: floa
     index = materialise(table.mapInPandas(assign, "vec_id long, embedding array<double>, cell long"), "index")
     sizes = index.groupBy("cell").agg(F.count("*").alias("n")).toPandas()  # MOST_CENTROIDS squared at most
     cells = Cells(sizes["cell"].to_numpy(), sizes["n"].to_numpy(), wide)
-    enough = walk_length(index, cells, books, dim, k, recall, seed)
+    enough = walk_length(index, cells, books, dim, k, recall, seed) if recall < 1 else cells.total
     of_row = np.bincount(cells.first, cells.count, len(books[0]))
     group = (np.maximum(np.cumsum(of_row) - of_row, 0) // BLOCK).astype(np.int64)  # runs of first centroids
     names, group = np.unique(group, return_inverse=True)
