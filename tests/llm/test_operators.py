@@ -130,7 +130,7 @@ def test_parts_and_regions_lose_no_link(percent):
     region = jaccard_regions.Region(sets, percent)
     labels = region.join()
     assert len({(find(parent, k), labels[k]) for k in range(len(sets))}) == len({find(parent, k) for k in range(len(sets))}) == len(set(labels.tolist()))
-    assert sum(d for _, d in region.took.values()) < len(sets) ** 2 / 2 and (percent < 85 or len(region.took) > 1)
+    assert sum(d for _, d in region.took.values()) < len(sets) ** 2 / 2 and (percent != 85 or len(region.took) > 1)
 
 
 def test_secrets(spark, docs, nothing):
@@ -209,45 +209,116 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8)).round(2)
     x[50:60] = x[50]
-    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (None, [1.0] * 8)]
-    v = spark.createDataFrame(data, "vec_id long, embedding array<float>")
-    got = multi_index.neighbours(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k=5).collect()
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0]), (904, [None] + [1.0] * 7), (None, [1.0] * 8)]
+    v = spark.createDataFrame([(*r, 1, 2, 3) for r in data], "vec_id long, embedding array<float>, cell int, block int, query_id int")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = multi_index.neighbours(v, asked, k=5, recall=1).collect()
     x = x.astype(np.float32).astype(float)
     for q in range(0, 300, 20):
         s = x @ x[q]
-        want = sorted((i for i in range(300) if i != q), key=lambda i: (-s[i], i))[:5]
-        assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
-    assert multi_index.neighbours(v.limit(0), v.select(F.col("vec_id").alias("query_id"), "embedding")).count() == 0
-
-
-def test_shards(spark, docs, tmp_path):
-    d = docs.select("doc_id", "text", "lang", "source")
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-round(s[i], 9), i))[:5]
+        mine = sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])
+        assert [r.vec_id for r in mine] == want and [r["rank"] for r in mine] == [1, 2, 3, 4, 5]
+        assert [r.score for r in mine] == pytest.approx([s[i] for i in want])
+    assert multi_index.neighbours(v.limit(0), asked).count() == 0 and multi_index.neighbours(v, asked.limit(0)).count() == 0
+    line = spark.createDataFrame([(i, [float(i + 1)]) for i in range(30)], "vec_id long, embedding array<double>")
+    found = multi_index.neighbours(line, line.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k=3, recall=1).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == [29, 28, 27]
+
+
+def test_neighbours_by_a_short_walk(spark, monkeypatch):
+    """Vectors in loose clusters: a recall of 0.9 from a share of all vectors that falls as they become more."""
+    shares, whole = [], multi_index.walk_length
+
+    def length(index, cells, *args):
+        shares.append((out := whole(index, cells, *args)) / cells.total)
+        return out
+
+    monkeypatch.setattr(multi_index, "walk_length", length)
+    monkeypatch.setattr(multi_index, "BLOCK", 1000)
+    monkeypatch.setattr(multi_index, "FAN_IN", 3)
+    monkeypatch.setattr(multi_index, "ASKED", 400)
+    rng = np.random.default_rng(5)
+    middles = rng.standard_normal((200, 16))
+    for n in (2_000, 12_000):
+        x = middles[rng.integers(0, 200, n)] + 0.5 * rng.standard_normal((n, 16))
+        v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = multi_index.neighbours(v, v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k=10).collect()
+        hits = 0
+        for q in range(0, n, 20):
+            s = x @ x[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:10].tolist()) & {r.vec_id for r in got if r.query_id == q})
+        assert hits >= 0.9 * len(got) and len(got) == n // 2
+    assert shares[1] < shares[0] < 0.5
+
+
+def test_cells_walk_in_order():
+    rng = np.random.default_rng(2)
+    cell, count = rng.permutation(400)[:250], rng.integers(1, 9, 250)
+    cells, a, b = multi_index.Cells(cell, count, 20), rng.standard_normal(20), rng.standard_normal(20)
+    sums = a[cell // 20] + b[cell % 20]
+    order = np.argsort(-sums)
+    for enough in (1, 50, 400, int(count.sum())):
+        assert cells.walk(a, b, enough) == pytest.approx(sums[order][np.searchsorted(np.cumsum(count[order]), enough)])
+
+
+def test_shards(spark, docs, nothing, tmp_path):
+    d = docs.withColumn("run", F.lit(7)).withColumn("file", F.lit("x")).withColumn("_g", F.lit(1))
     store = tiered_shards.ShardStore(spark, str(tmp_path / "s"), target=60_000)
+    assert store.rows().count() == 0
     store.append(d)
-    before = store.manifest().count()
+    store.append(d.limit(0))
+    before, first = store.manifest().count(), store.version - 1
     while store.compact():
         pass
-    assert store.manifest().count() < before and store.rows(store.manifest()).count() == d.count()
-    assert store.rows(store.manifest(0)).count() == d.count()
-    store.append(d)
-    assert store.rows(store.manifest()).count() == 2 * d.count()
+    key = lambda df: sorted(map(str, df.collect()))
+    assert store.manifest().count() < before and key(store.rows()) == key(d)
+    assert store.rows(store.manifest(first)).count() == d.count()
+    again = tiered_shards.ShardStore(spark, str(tmp_path / "s"), target=60_000)
+    assert again.version == store.version and key(again.rows()) == key(d)
+    again.append(d)
+    assert again.rows().count() == 2 * d.count() and store.rows().count() == d.count()
+    again.expire()
+    assert again.versions() == [again.version] and again.rows().count() == 2 * d.count()
+    empty = tiered_shards.stored([nothing], str(tmp_path / "e"))
+    assert empty.rows().count() == 0 and empty.rows().columns == nothing.columns and not empty.compact()
+
+
+def test_shards_of_racing_and_crashed_writers(spark, docs, tmp_path):
+    path = str(tmp_path / "s")
+    a, b = tiered_shards.ShardStore(spark, path), tiered_shards.ShardStore(spark, path)
+    a.append(docs)
+    b.append(docs)  # its version is taken; it goes on from the new one
+    assert b.version == 1 and b.rows().count() == 2 * docs.count()
+    assert a.version == 0 and a.plan().count() > 0
+    with pytest.raises(tiered_shards.Conflict):
+        a.compact()
+    assert a.refresh() == 1 and a.rows().count() == 2 * docs.count()
+    a._write(docs)  # and dies before it commits
+    c = tiered_shards.ShardStore(spark, path)
+    assert c.rows().count() == 2 * docs.count() and c.compact() and c.rows().count() == 2 * docs.count()
+    assert c.sweep(3600) == 0 and c.sweep(0) > 0 and c.rows().count() == 2 * docs.count()
 
 
 @pytest.mark.parametrize("sizes", [[100] * 6, [60, 60, 60, 60, 60], [100, 1, 1, 1], [127] * 9 + [3], [128, 300, 5], [9, 9], [0, 0, 0]])
 def test_shards_are_merged_to_the_end(spark, tmp_path, sizes):
-    store = tiered_shards.ShardStore(spark, str(tmp_path / "s"), target=128)
+    text = lambda k, n: "".join(chr(33 + random.Random(1000 * k + i).randrange(90)) for i in range(20 * n))
+    store = tiered_shards.ShardStore(spark, str(tmp_path / "s"), target=3000)
     for k, n in enumerate(sizes):
-        store.append(spark.createDataFrame([(k, "x" * n)], "doc_id long, text string").coalesce(1))
-    assert store.compact() == (sum(n < 128 for n in sizes) > 1) and not store.compact()
-    small = [r.bytes for r in store.manifest().collect() if r.bytes < 128]
-    assert len(small) <= 1 and (not small or sum(n for n in sizes if n < 128) < 128 or sum(n < 128 for n in sizes) == 1)
-    assert sorted((r.doc_id, len(r.text)) for r in store.rows(store.manifest()).collect()) == list(enumerate(sizes))
+        store.append(spark.createDataFrame([(k, text(k, n))], "doc_id long, text string").coalesce(1))
+    small = [r.bytes for r in store.manifest().collect() if r.bytes < 3000]
+    assert store.compact() == (len(small) > 1) and not store.compact()
+    left = [r.bytes for r in store.manifest().collect() if r.bytes < 3000]
+    assert len(left) <= 1
+    assert sorted((r.doc_id, r.text) for r in store.rows().collect()) == [(k, text(k, n)) for k, n in enumerate(sizes)]
 
 
-def test_stored_is_compacted(spark, docs, tmp_path):
-    store = tiered_shards.stored(docs.select("doc_id", "text", "lang", "source"), str(tmp_path / "s"), target=20_000)
-    assert store.plan().count() == 0 and store.rows(store.manifest()).count() == docs.count()
-    assert all(r.bytes >= 20_000 for r in store.manifest().collect())
+def test_stored_is_compacted_tier_by_tier(spark, docs, tmp_path):
+    d = docs.select("doc_id", "text", "lang", "source").repartition(6)
+    store = tiered_shards.stored([d, d, d], str(tmp_path / "s"), target=20_000)
+    assert store.plan().count() == 0 and store.rows().count() == 3 * docs.count() and store.version > 3
+    assert sum(r.bytes < 20_000 for r in store.manifest().collect()) <= 1
 
 
 def test_repeated_queries_lose_no_neighbour(spark):
@@ -255,7 +326,7 @@ def test_repeated_queries_lose_no_neighbour(spark):
     x = rng.standard_normal((100, 8)).astype(np.float32).astype(float)
     v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
     asked = spark.createDataFrame([(1, x[1].tolist()), (1, x[1].tolist()), (2, x[2].tolist()), (2, x[3].tolist())], "query_id long, embedding array<double>")
-    got = sorted((r.query_id, r["rank"], r.vec_id) for r in multi_index.neighbours(v, asked, k=5).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in multi_index.neighbours(v, asked, k=5, recall=1).collect())
     want = [(q, k + 1, i) for q, row in ((1, 1), (2, 2), (2, 3)) for k, i in enumerate([i for i in np.argsort(-(x @ x[row]), kind="stable") if i != q][:5])]
     assert got == sorted(want)
 
