@@ -20,11 +20,13 @@ HINT = re.compile(r"(?i:passw|secret|token|api_?key)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-LETTERS, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Letters in the order of their frequency in text, so that cells of an alphabet part frequent ones from rare ones.
+LOWER, DIGITS = "etaoinsrhldcumfpgwybvkxjqz", "0123456789"
+LETTERS = LOWER.upper()
 #: Encodings from the narrowest alphabet to the widest; the first that holds all characters is inferred.
 ENCODINGS = (
     ("digits", DIGITS), ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "ABCDEF"), ("base26", LOWER), ("BASE26", LETTERS), ("base32", LETTERS + "234567"), ("BASE36", LETTERS + DIGITS),
-    ("base36", LOWER + DIGITS), ("base62", LETTERS + LOWER + DIGITS), ("base64", LETTERS + LOWER + DIGITS + "+/"), ("base64url", LETTERS + LOWER + DIGITS + "-_"), ("any", LETTERS + LOWER + DIGITS + "+/-_"),
+    ("base36", LOWER + DIGITS), ("base62", LOWER + LETTERS + DIGITS), ("base64", LOWER + LETTERS + DIGITS + "+/"), ("base64url", LOWER + LETTERS + DIGITS + "-_"), ("any", LOWER + LETTERS + DIGITS + "+/-_"),
 )
 ALPHABETS = tuple({c: i for i, c in enumerate(x)} for _, x in ENCODINGS)
 #: Bits that a candidate has at least, cells of the alphabet, lengths that null strings are drawn for, and how many of each.
@@ -89,8 +91,8 @@ def text_like(encoding: int, neighbours: np.ndarray, rng: np.random.Generator, n
     """Structured strings of an encoding: words of the corpus's own letter pairs, run together.
 
     Words end as often as they do in the corpus. Each is all capitals, all lower case or digits, in
-    proportion to the characters that the encoding has of these, so that such strings are as evenly spread
-    over the alphabet as text can be, and harder to tell from random ones than text is.
+    proportion to the characters that the encoding has of these; where it has both cases, words are in
+    lower case with a capital first.
     """
     alphabet = ENCODINGS[encoding][1]
     m = len(alphabet)
@@ -107,17 +109,17 @@ def text_like(encoding: int, neighbours: np.ndarray, rng: np.random.Generator, n
         own = kind == k
         first = counts[STATES - 1, at[own]] + 0.1
         begin[own] = own.mean() * first / first.sum()
-    ends = counts[at][:, [STATES - 1]].sum(1) / np.maximum(counts[at].sum(1), 1)
-    ends = np.clip(ends, 0.02, 0.5)
-    move = np.cumsum((1 - ends)[:, None] * step / step.sum(1, keepdims=True) + ends[:, None] * begin, axis=1)
+    ends = np.clip((counts[at, STATES - 1] + 1) / (counts[at].sum(1) + 2), 0.02, 0.5)
+    move, start = np.cumsum(step / step.sum(1, keepdims=True), axis=1), np.cumsum(begin)[None, :]
     pick = lambda table, u: np.minimum((table < u[:, None]).sum(1), m - 1)
-    state = pick(np.cumsum(begin)[None, :], rng.random(draws))
-    out = [state]
-    for _ in range(n - 1):
-        state = pick(move[state], rng.random(draws))
-        out.append(state)
-    letters = np.array(list(alphabet))
-    return ["".join(x) for x in letters[np.array(out).T]]
+    state, first = pick(start, rng.random(draws)), np.ones(draws, bool)
+    swap = np.array([alphabet.find(c.upper()) if c in LOWER else alphabet.find(c.lower()) if c in LETTERS else k for k, c in enumerate(alphabet)])
+    mixed, out = {0, 1} <= set(kind.tolist()), []
+    for _ in range(n):
+        out.append(np.where((kind[state] == np.where(first, 1, 0)) & mixed, swap[state], state))
+        first = rng.random(draws) < ends[state]
+        state = np.where(first, pick(start, rng.random(draws)), pick(move[state], rng.random(draws)))
+    return ["".join(x) for x in np.array(list(alphabet))[np.array(out).T]]
 
 
 def fisher(values: np.ndarray, m: int) -> np.ndarray:
@@ -186,7 +188,7 @@ def scanned(docs: DataFrame, names: tuple[str, str, str, str, str], keep: list[s
     given = docs.select(*(docs[f"`{c}`"] for c in keep), docs["text"].cast("string").alias(vector))
     out = StructType([StructField(f.name, f.dataType) for f in given.schema][:-1])
     for name, kind in ((base, SPANS), (cand, CANDS), (block, "int"), (part, "long"), (vector, "binary")):
-        out = out.add(name, kind)
+        out = out.add(name, StructType.fromDDL(f"x {kind}")["x"].dataType)
 
     def scan(batches):
         from pyspark import TaskContext
