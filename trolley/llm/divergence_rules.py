@@ -36,9 +36,14 @@ def repeated_words(words: Column, width: int = 3) -> Column:
     """Words covered by windows that the text has twice or more.
 
     Hashes of the windows, with the places in their low bits, are sorted; those beside an equal hash
-    are then compared as texts, so the count is exact. n log n in one row, no shuffle.
+    are then compared as texts, so the count is exact. n log n in one row, no shuffle. A text of 2 ** 24
+    words or more has 31 bits for places, which leaves fewer for hashes and more to compare.
     """
-    low = 24  # bits of a place
+    return F.when(F.size(words) < 1 << 24, windows_twice(words, width, 24)).otherwise(windows_twice(words, width, 31))
+
+
+def windows_twice(words: Column, width: int, low: int) -> Column:
+    """``repeated_words`` with ``low`` bits for a place."""
     twice = lambda at, same: lambda x, k: F.coalesce(same(x, at(k - 1)), F.lit(False)) | F.coalesce(same(x, at(k + 1)), F.lit(False))
 
     def of(w: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, n_words_of
+from .common import FEW, materialise, n_words_of, unused
 
 WEIGHTS, MOST_COPIES, GROUP = (5.0, 2.0, 1.0), 3, 256
 UNIT = ("size", "doc_id", "hash", "m", "whole", "p")
@@ -139,20 +139,34 @@ def pivotal_mix(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
-    units = materialise(mixed_units(docs, seed), "mixed").where("total > 0").select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"), F.col("hash").alias("_h"), "m", "total")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_h")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Null text or no words: size 0, not in the mix. Null sources and ids are matched as such; equal rows
+    share their copies, and rows that differ in other columns only count as equal. Empty table: no rows.
+    All columns are kept, whatever their names.
+    """
+    s, d, h, m, total, n, k = unused(docs, "_s", "_d", "_h", "_m", "_total", "_n", "_k")
+    units = materialise(mixed_units(docs, seed), "mixed").where("total > 0").select(F.col("source").alias(s), F.col("doc_id").alias(d), F.col("hash").alias(h), F.col("m").alias(m), F.col("total").alias(total))
+    own = docs.withColumns({s + "x": F.col("source").cast("string"), d + "x": F.col("doc_id").cast("long"), h + "x": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    on = [F.col(c + "x").eqNullSafe(F.col(c)) for c in (s, d, h)]
+    kept = [F.col(f"`{c}`") for c in docs.columns]
 
     def repeated(rows: DataFrame, k: Column) -> DataFrame:
-        many = rows.withColumn("_n", copies_of(k)).where("_n > 0")
-        return many.withColumn("_c", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).select(*docs.columns)
+        copies = F.floor(F.col(total) / F.col(m)) + (k < F.pmod(F.col(total), F.col(m))).cast("long")
+        return rows.withColumn(n, F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*kept)
 
-    once = repeated(docs.join(units.where("m = 1"), on), F.lit(0))
-    many = units.where("m > 1")
+    once = repeated(own.join(units.where(F.col(m) == 1), on), F.lit(0))
+    many = units.where(F.col(m) > 1)
     if many.limit(1).count() == 0:
         return once
-    k = F.row_number().over(Window.partitionBy("_s", "_d", "_h").orderBy("_h")) - 1
-    return once.unionByName(repeated(docs.join(many, on).withColumn("_k", k), F.col("_k")))
+    # places of equal rows: within their task first, then after those of the tasks before, so that no group is gathered
+    rows = own.join(F.broadcast(many) if many.count() <= FEW else many, on).withColumn(n, F.spark_partition_id())
+    rows = materialise(rows.withColumn(k, F.row_number().over(Window.partitionBy(n, s, d, h).orderBy(h)).cast("long") - 1), "repeated")
+    counts = rows.groupBy(s, d, h, n).count()
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy(s, d, h).orderBy(n).rowsBetween(Window.unboundedPreceding, -1)))
+    before = materialise(before.select(*(F.col(c).alias(c + "y") for c in (s, d, h, n)), F.coalesce("before", F.lit(0)).alias(n + "z")), "before")
+    placed = rows.join(F.broadcast(before) if before.count() <= FEW else before, [F.col(c).eqNullSafe(F.col(c + "y")) for c in (s, d, h, n)])
+    return once.unionByName(repeated(placed.withColumn(k, F.col(k) + F.col(n + "z")), F.col(k)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

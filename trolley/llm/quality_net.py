@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fold, joined_blocks, materialise, n_parts, part_vectors, sum_blocks, whole_text
+from .common import FEW, Memo, fold, joined_blocks, materialise, n_parts, part_vectors, sum_blocks, unused, whole_text
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 14, 64, 2, 2
 REPEATED = BUCKETS - 1
@@ -173,12 +173,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most_labels: int = 20_000
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
+    """The rows of ``docs`` that the classifier does not reject.
+
+    Null text is judged as empty text is; rows are told apart by id and text, null ids among them, and
+    equal rows share a verdict. Empty table: no rows. All columns are kept, whatever their names.
+    """
+    d, h = unused(docs, "_d", "_h")
     verdicts = materialise(quality_scores(docs, labels, **options), "verdicts")
-    out = verdicts.where("predicted = 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
-    rejects = F.broadcast(out) if verdicts.where("predicted = 0").count() <= 500_000 else out
+    out = materialise(verdicts.where("predicted = 0").select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "rejected")
+    rejects = F.broadcast(out) if out.count() <= FEW else out
     text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(rejects, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (text == F.col("_h")), "left_anti")
+    return docs.join(rejects, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (text == F.col(h)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
