@@ -28,6 +28,13 @@ class Recommender:
         scores = ranking.novel(scores, evidence, self.stats) if kind == "novel" else scores
         return ranking.ranked(scores, n)
 
+    def recommend_all(self, evidence: DataFrame, n: int = 10, kind: str = "all") -> DataFrame:
+        """basket, items: the n best in order for every basket; an empty list for baskets of fewer than n items."""
+        found = self.recommend(ranking.of_size(evidence, n), n, kind)
+        lists = found.groupBy("basket").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("items"))  # n a basket
+        empty = F.array().cast(f"array<{evidence.schema['item'].dataType.simpleString()}>")
+        return evidence.select("basket").distinct().join(lists, "basket", "left").select("basket", F.coalesce("items", empty).alias("items"))
+
 
 @dataclass
 class Popularity(Recommender):
@@ -118,10 +125,11 @@ class Topics(Recommender):
 
     topics: int = 3
     steps: int = 5
+    tolerance: float | None = None
 
     def fit(self, ui: DataFrame) -> Recommender:
         super().fit(ui)
-        self.model = topics.train(ui, self.topics, self.steps)
+        self.model = topics.train(ui, self.topics, self.steps, self.tolerance)
         return self
 
     def scores(self, evidence: DataFrame) -> DataFrame:
@@ -129,4 +137,4 @@ class Topics(Recommender):
         return topics.folded_scores(rows, self.model, self.steps)
 
 
-MODELS = {"popularity": Popularity, "additive": Additive, "marginal": Marginal, "walk": Walk, "paths": Paths, "topics": Topics}
+MODELS = {"popularity": Popularity, "additive": Additive, "marginal": Marginal, "walk": Walk, "paths": Paths, "paths_alias": Paths, "topics": Topics}

@@ -66,6 +66,33 @@ def mean_prior(reco: DataFrame, stats: DataFrame) -> DataFrame:
     return reco.join(stats, "item").groupBy("basket").agg(F.avg("prior").alias("value"))
 
 
+#: Metrics by name: items (basket, item), edges, stats, n, mean of the highest priors (one row) -> basket, value.
+METRICS = {
+    "rare_item_hit": lambda items, edges, stats, n, top: rare_item_hit(items, edges, stats, n),
+    "shuffled_hit": lambda items, edges, stats, n, top: shuffled_hit(items, edges, n),
+    "leave_one_out": lambda items, edges, stats, n, top: weighted_leave_one_out(items, edges, stats, n),
+    "novelty": lambda items, edges, stats, n, top: novelty(items, edges, stats, n, top),
+}
+
+
+def evaluate(items: DataFrame, edges: DataFrame, stats: DataFrame, n: int, names: list[str] | None = None) -> DataFrame:
+    """basket, metric, value: every metric over all baskets that are large enough for it, a job a metric."""
+    from .statistics import mean_of_top_priors
+
+    top, out = mean_of_top_priors(stats), None
+    for name in names or METRICS:
+        one = METRICS[name](items, edges, stats, n, top).select("basket", F.lit(name).alias("metric"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def performance_matrix(values: DataFrame, baskets: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A row a basket and a column a metric; baskets that were too small for it have zero."""
+    names = list(names or METRICS)
+    wide = values.groupBy("basket").pivot("metric", names).agg(F.first("value"))
+    return baskets.select("basket").distinct().join(wide, "basket", "left").na.fill(0.0, names)
+
+
 def mean_performance(metrics: dict[str, DataFrame], baskets: DataFrame) -> DataFrame:
     """metric, mean (baskets too small to judge count as zero), mean_eligible."""
     n = baskets.select("basket").distinct().agg(F.count("*").alias("n"))

@@ -17,8 +17,10 @@ def two_hop(left: DataFrame, right: DataFrame, diagonal: bool) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
 
 
-def cooccurrence(ui: DataFrame, diagonal: bool = False) -> DataFrame:
-    return two_hop(ui, ui, diagonal)
+def cooccurrence(ui: DataFrame, diagonal: bool = False, sources: DataFrame | None = None) -> DataFrame:
+    """Customers' joint purchases of two items; only edges from items of ``sources``, if given."""
+    left = ui if sources is None else ui.join(sources.select("item").distinct(), "item", "left_semi")
+    return two_hop(left, ui, diagonal)
 
 
 def norms(ui: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.matrices import dimension
+from .lineage import cut
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
@@ -46,6 +48,40 @@ def grid(run: Callable[[dict], float], points: Iterable[dict], at_once: int = 1)
         return list(zip(points, pool.map(run, points), strict=True))
 
 
+class Jobs:
+    """A queue of jobs: ``add`` gives a ticket, ``get`` waits for its result, ``stop`` lets what is under way end."""
+
+    def __init__(self, at_once: int = 1):
+        self.pool, self.tickets = ThreadPoolExecutor(at_once), {}
+
+    def add(self, run: Callable, *args, **options) -> str:
+        ticket = uuid.uuid4().hex
+        self.tickets[ticket] = self.pool.submit(run, *args, **options)
+        return ticket
+
+    def get(self, ticket: str):
+        return self.tickets.pop(ticket).result()
+
+    def stop(self) -> None:
+        self.pool.shutdown(wait=True, cancel_futures=True)
+
+
+def fitted(estimator, observations: DataFrame):
+    """A worker that fits an estimator or pipeline (anything with ``fit``) on a table."""
+    return estimator.fit(observations)
+
+
+def train_then_evaluate(model, ui: DataFrame, judge: Callable):
+    """judge(trained model): what a worker of the queue does for one model."""
+    return judge(model.fit(ui))
+
+
+def sweep(make: Callable[..., object], base: DataFrame, points: Iterable[dict], judge: Callable, at_once: int = 1) -> list[tuple[dict, object]]:
+    """judge(make(**point).fit(base)) for each point; the base is written once and all points read it."""
+    shared = cut(base)
+    return grid(lambda point: train_then_evaluate(make(**point), shared, judge), points, at_once)
+
+
 def best(results: DataFrame, by: str, *keys: str) -> DataFrame:
     """The row of the largest ``by`` for each key."""
     rest = [c for c in results.columns if c not in keys]

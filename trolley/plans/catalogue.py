@@ -33,6 +33,12 @@ class Data:
         self.stats = statistics.item_stats(self.ui)
         self.items = interactions.basket_items(self.test, self.ui)
 
+    def settled(self) -> Data:
+        """Counts, statistics and test items written once, for queries that read each several times."""
+        self.ui = cut(self.ui)
+        self.stats, self.items = cut(statistics.item_stats(self.ui)), cut(interactions.basket_items(self.test, self.ui))
+        return self
+
     def kept(self, df: DataFrame) -> DataFrame:
         """Several branches or steps read it: written once."""
         return cut(df)
@@ -267,7 +273,8 @@ def biased(d):
 
 @query("reco_cooccurrence", o.q(o.base("part"), o.COOC, o.scored(), o.top(10), o.RECO), "part")
 def reco_cooccurrence(d):
-    return ranks(ranking.recommend(d.items, kernels.cooccurrence(d.ui), 10))
+    d = d.settled()
+    return ranks(ranking.recommend(d.items, kernels.cooccurrence(d.ui, sources=d.items), 10))
 
 
 @on_parts
@@ -297,7 +304,8 @@ def reco_marginal(d):
 
 @query("reco_novel", o.q(o.base("part"), o.COOC, o.scored(), o.NOVEL.format(e="bi"), o.top(10, "fresh"), o.RECO), "part")
 def reco_novel(d):
-    scores = ranking.without_evidence(ranking.additive_scores(d.items, kernels.cooccurrence(d.ui)), d.items)
+    d = d.settled()
+    scores = ranking.without_evidence(ranking.additive_scores(d.items, kernels.cooccurrence(d.ui, sources=d.items)), d.items)
     return ranks(ranking.ranked(ranking.novel(scores, d.items, d.stats), 10))
 
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
     """row, col (from 0) and value of a sparse coordinate file."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("begins"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.where(F.col("value").startswith("%%")).select("file").distinct()
+    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != ""))
+    shape = body.where("begins").join(F.broadcast(heads), "file").groupBy("file").agg(F.min("at").alias("at"))  # the first line below a head has the shape
     parts = F.split(F.trim("value"), r"\s+")
-    cells = lines.select((parts[0].cast("bigint") - 1).alias("row"), (parts[1].cast("bigint") - 1).alias("col"), F.get(parts, F.lit(2)).cast("double").alias("value"), F.monotonically_increasing_id().alias("_at"))
-    return cells.where(F.col("_at") > cells.agg(F.min("_at")).first()[0]).drop("_at")  # the first line has the shape
+    cells = body.join(F.broadcast(shape), ["file", "at"], "left_anti")  # a row a file with a head
+    return cells.select((parts[0].cast("bigint") - 1).alias("row"), (parts[1].cast("bigint") - 1).alias("col"), F.get(parts, F.lit(2)).cast("double").alias("value"))
 
 
 def read_dense_matrix_market(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
@@ -33,6 +36,22 @@ def write_matrix_market(cells: DataFrame, path: str) -> None:
     head.unionByName(body).repartitionByRange("at", "line").sortWithinPartitions("at", "line").select("line").write.text(path)
 
 
+def write_dense_matrix_market(rows: DataFrame, path: str, *names: str, order: str) -> None:
+    """Write columns of doubles, rows in the order of a column, as a column-major array file: a folder whose parts follow one another."""
+    cells = rows.select(order, F.posexplode(F.array(*(F.col(n).cast("double") for n in names))).alias("c", "v"))
+    body = cells.select(F.lit(2).alias("at"), F.col("c").cast("long").alias("c"), F.col(order).alias("r"), F.col("v").cast("string").alias("line"))
+    n = rows.count()
+    head = rows.sparkSession.createDataFrame([(0, "%%MatrixMarket matrix array real general"), (1, f"{n} {len(names)}")], "at int, line string")
+    head = head.select("at", F.lit(0).cast("long").alias("c"), F.lit(None).cast(body.schema["r"].dataType).alias("r"), "line")
+    head.unionByName(body).repartitionByRange("at", "c", "r").sortWithinPartitions("at", "c", "r").select("line").write.text(path)
+
+
+def write_baskets(baskets: DataFrame, customers: DataFrame, items: DataFrame, path: str) -> None:
+    """Write baskets and the two dictionaries (customer, idx) and (item, idx) as tables below ``path``."""
+    for name, table in (("baskets", baskets), ("customers", customers), ("items", items)):
+        table.write.parquet(f"{path}/{name}")
+
+
 def dimension(rows: DataFrame, key: str) -> DataFrame:
     """key and idx, dense from 0 in the order of the key.
 

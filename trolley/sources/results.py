@@ -19,6 +19,61 @@ def empty_store(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
 
 
+def save_store(store: dict[str, DataFrame], path: str) -> None:
+    """Write the six tables as a new version below ``path``; a reader opens the last one that is complete."""
+    spark = store["models"].sparkSession
+    at = max(_versions(spark, path), default=-1) + 1
+    for name, table in store.items():
+        table.write.parquet(f"{path}/{at}/{name}")
+    spark.range(1).write.parquet(f"{path}/{at}/complete")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+    return [int(x) for x in names if x.isdigit() and fs.exists(hadoop.Path(f"{path}/{x}/complete/_SUCCESS"))]
+
+
+def open_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The last version of the store at ``path``; empty tables if there is none."""
+    at = max(_versions(spark, path), default=None)
+    return empty_store(spark) if at is None else {name: spark.read.schema(s).parquet(f"{path}/{at}/{name}") for name, s in SCHEMAS.items()}
+
+
+def add_result(store: dict[str, DataFrame], model: str, parameters: dict[str, float], performances: dict[str, float]) -> dict[str, DataFrame]:
+    """``store`` with one result: labels are found or created, ids go on from the largest."""
+    spark, out = store["models"].sparkSession, dict(store)
+    labels = lambda names: spark.createDataFrame([(n,) for n in names], "label string")
+    for table, names in (("models", [model]), ("parameters", parameters), ("performances", performances)):
+        out[table] = get_or_create(out[table], labels(names))
+    ids = lambda table: {r.label: r.id for r in out[table].join(F.broadcast(labels({"models": [model], "parameters": parameters, "performances": performances}[table])), "label").collect()}
+    owner, result = ids("models")[model], (out["results"].agg(F.max("id")).first()[0] or 0) + 1
+    own = lambda table, rows: out[table].unionByName(spark.createDataFrame(rows, SCHEMAS[table]))
+    p, q = ids("parameters"), ids("performances")
+    out["results"] = own("results", [(result, owner)])
+    out["model_parameter"] = own("model_parameter", [(owner, p[n], float(v)) for n, v in parameters.items()])
+    out["result_performance"] = own("result_performance", [(result, q[n], float(v)) for n, v in performances.items()])
+    return out
+
+
+def by_parameters(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """alpha, theta and a column a metric, from rows (metric, alpha, theta, value) of a sweep's files."""
+    return rows.groupBy("alpha", "theta").pivot("metric", metrics).agg(F.max("value"))
+
+
+def bars(scores: DataFrame, n: int = 50) -> DataFrame:
+    """What a bar chart of scores shows: place, item, score of the n best."""
+    best = scores.orderBy(F.desc("score"), F.desc("item")).limit(n)
+    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), F.desc("item"))).alias("place"), "item", "score")
+
+
+def lines(rows: DataFrame, x: str, y: str, series: str) -> DataFrame:
+    """What a line chart shows: series, x and the mean of y."""
+    return rows.groupBy(F.col(series).alias("series"), F.col(x).alias("x")).agg(F.avg(y).alias("y"))
+
+
 def get_or_create(table: DataFrame, labels: DataFrame) -> DataFrame:
     """``table`` (id, label) with a row for each label that it lacked."""
     new = labels.select("label").distinct().join(table, "label", "left_anti")

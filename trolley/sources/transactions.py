@@ -14,8 +14,10 @@ def read_delimited(spark: SparkSession, paths: str | list[str], columns: dict[in
     """
     width = max(columns) + 1
     schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(width)])
-    rows = spark.read.schema(schema).option("sep", sep).option("header", header).option("enforceSchema", True).csv(paths)
-    checked = F.when(F.col(f"_{width - 1}").isNull(), F.raise_error(F.concat(F.lit(f"a row has fewer than {width} columns: "), F.to_json(F.struct(*rows.columns))))).otherwise(F.col(f"_{width - 1}"))
+    reader = spark.read.schema(schema.add("_line", T.StringType())).option("columnNameOfCorruptRecord", "_line")
+    rows = reader.option("sep", sep).option("header", header).option("enforceSchema", True).csv(paths)
+    short = F.col(f"_{width - 1}").isNull() & (F.size(F.split("_line", f"\\Q{sep}\\E")) < width)  # an empty last field is a field
+    checked = F.when(short, F.raise_error(F.concat(F.lit(f"a row has fewer than {width} columns: "), F.to_json(F.struct(*rows.columns))))).otherwise(F.col(f"_{width - 1}"))
     rows = rows.withColumn(f"_{width - 1}", checked.cast("string"))
     return rows.select(*(F.col(f"_{i}").cast(kind).alias(name) for i, (name, kind) in columns.items()))
 
@@ -40,6 +42,14 @@ def read_numbers(spark: SparkSession, path: str, names: list[str], sep: str = ",
     return read_delimited(spark, path, {i: (n, "double") for i, n in enumerate(names)}, sep=sep, header=False)
 
 
+def load(spark: SparkSession, train: list[str], test: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """The default data: user-item counts (customer, item, w) of some files, baskets (customer, item) of known items of another."""
+    from ..operators.interactions import in_vocabulary, interactions
+
+    ui = interactions(read_grocery(spark, train))
+    return ui, in_vocabulary(read_grocery(spark, test).select("customer", "item").distinct(), ui)
+
+
 def star_transactions(spark: SparkSession, sf_dir: str, universe: str = "part") -> DataFrame:
     """customer, item, basket, day of the star schema; items are parts, or brands by number."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey")
