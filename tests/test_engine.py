@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trolley.functions.models import Paths
+from trolley.functions.models import Marginal, Paths
 from trolley.operators import evaluation, interactions, kernels, ranking, splits, statistics, walks
 from trolley.sources.transactions import read_purchases, toy
 
@@ -59,6 +59,21 @@ def test_baskets_and_ties(spark, data):
     assert [r.item for r in ranking.recommend(one, kernels.cooccurrence(ui), -1).orderBy("rank").collect()] == [10, 40, 30]
 
 
+@pytest.mark.parametrize("few", [0, 2_000_000])
+def test_short_ways_score_alike(data, monkeypatch, few):
+    _, test, ui, stats = data
+    monkeypatch.setattr(ranking, "FEW", few)
+    items = interactions.basket_items(test, ui)
+    rows = lambda df: cells(df, "basket", "item", value="score")
+    long = ranking.without_evidence(ranking.additive_scores(items, kernels.cooccurrence(ui)), items)
+    assert rows(ranking.without_evidence(ranking.cooccurrence_scores(items, ui), items)) == rows(long)
+    assert rows(ranking.cooccurrence_scores(items, ui, stats)) == rows(ranking.novel(long, items, stats))
+    model = Marginal().fit(ui)
+    for n in (1, 2, 10):
+        assert rows(model.recommend(items, n)) == rows(ranking.ranked(ranking.without_evidence(model.scores(items), items), n))
+    assert model.recommend(items.limit(0), 2).count() == 0
+
+
 def test_metrics(data):
     _, test, ui, stats = data
     items = interactions.basket_items(test, ui).where("basket = 1")

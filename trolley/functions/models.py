@@ -74,6 +74,11 @@ class Marginal(Recommender):
         sizes = evidence.groupBy("basket").agg(F.count("*").alias("k"))
         return sizes.crossJoin(kernels.marginal(self.ui, self.alpha)).select("basket", "item", (F.col("k") * F.col("w")).alias("score"))
 
+    def recommend(self, evidence: DataFrame, n: int = 10, kind: str = "all") -> DataFrame:
+        if kind == "all" and n >= 0:
+            return ranking.ranked(ranking.weight_scores(evidence, kernels.marginal(self.ui, self.alpha), n), n)
+        return super().recommend(evidence, n, kind)
+
 
 @dataclass
 class Walk(Recommender):

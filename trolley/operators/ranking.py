@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a table that may be sent to every executor.
+FEW = 2_000_000
+#: Items of baskets whose paths make one task.
+ITEMS_A_TASK = 1_000
 
 def additive_scores(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     """basket, item, score: the sum of edges from the basket's items."""
@@ -12,6 +16,31 @@ def additive_scores(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     return x.groupBy("basket", F.col("dst").alias("item")).agg(F.sum("w").alias("score"))
 
 
+def cooccurrence_scores(evidence: DataFrame, ui: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """basket, item, score: ``additive_scores`` over the co-occurrence graph, which is not built.
+
+    A basket's items give it customers with a summed weight, and these give it items, so only paths from
+    baskets are made. Where the counts are few rows they go to every executor, and a basket's paths stay in its
+    task. With ``stats`` only ``novel`` items are scored: others are left out before they are summed.
+    """
+    few = ui.limit(FEW + 1).count() <= FEW
+    small = F.broadcast if few else (lambda table: table)
+    ends = ui.select("customer", F.col("item").alias("dst"), F.col("w").alias("b"))
+    x = evidence.select("basket", "item")
+    key = ["basket"]
+    if stats is not None:
+        pops = stats.select("item", "pop")
+        x = x.join(pops, "item").withColumn("least", F.min("pop").over(Window.partitionBy("basket"))).drop("pop")
+        ends, key = ends.join(pops.withColumnRenamed("item", "dst"), "dst"), ["basket", "least"]
+    if few:  # a number of its own: paths are many more than the rows they start from, by which tasks would be merged
+        tasks = max(int(ui.sparkSession.conf.get("spark.sql.shuffle.partitions")), evidence.count() // ITEMS_A_TASK)
+        x = x.repartition(tasks, "basket")
+    customers = x.join(small(ui), "item").groupBy(*key, "customer").agg(F.sum("w").alias("a"))
+    paths = customers.join(small(ends), "customer")
+    paths = paths if stats is None else paths.where("pop < least")
+    return paths.groupBy("basket", F.col("dst").alias("item")).agg(F.sum(F.col("a") * F.col("b")).alias("score"))
+
+
 def without_evidence(scores: DataFrame, evidence: DataFrame) -> DataFrame:
     return scores.join(evidence.select("basket", "item"), ["basket", "item"], "left_anti")
 
@@ -29,6 +58,24 @@ def popularity_scores(evidence: DataFrame, stats: DataFrame, n: int) -> DataFram
     return without_evidence(pairs.select("basket", "item", F.col("pop").alias("score")), evidence)
 
 
+def weight_scores(evidence: DataFrame, weights: DataFrame, n: int) -> DataFrame:
+    """The size of the basket times the weight (item, w) of an item: enough items for each basket to fill n places.
+
+    As in ``popularity_scores`` the n + k first items do. Scores are ranked by their rounded value, so items that
+    are nearer than that to the last of them go along: of each weight the n + k largest items.
+    """
+    sizes = evidence.groupBy("basket").agg(F.count("*").alias("k"))
+    places = n + (sizes.agg(F.max("k")).first()[0] or 0)
+    last = weights.orderBy(F.desc("w"), F.desc("item")).limit(places).agg(F.min("w")).first()[0]
+    if last is None:
+        return evidence.select("basket", "item", F.lit(0.0).alias("score")).limit(0)
+    same = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("item")))
+    top = weights.where(F.col("w") >= last - 2e-9).withColumn("same", same).where(F.col("same") <= places).select("item", "w")
+    few = top.limit(FEW + 1).count() <= FEW
+    pairs = sizes.crossJoin(F.broadcast(top) if few else top)
+    return without_evidence(pairs.select("basket", "item", (F.col("k") * F.col("w")).alias("score")), evidence)
+
+
 def ranked(scores: DataFrame, n: int = -1, score: Column | None = None) -> DataFrame:
     """basket, item, score, rank from 1; n = -1 ranks all. Scores of zero or less are no recommendation."""
     value = F.round(F.col("score") if score is None else score, 9)

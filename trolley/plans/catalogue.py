@@ -267,7 +267,7 @@ def biased(d):
 
 @query("reco_cooccurrence", o.q(o.base("part"), o.COOC, o.scored(), o.top(10), o.RECO), "part")
 def reco_cooccurrence(d):
-    return ranks(ranking.recommend(d.items, kernels.cooccurrence(d.ui), 10))
+    return ranks(ranking.ranked(ranking.without_evidence(ranking.cooccurrence_scores(d.items, d.ui), d.items), 10))
 
 
 @on_parts
@@ -297,8 +297,8 @@ def reco_marginal(d):
 
 @query("reco_novel", o.q(o.base("part"), o.COOC, o.scored(), o.NOVEL.format(e="bi"), o.top(10, "fresh"), o.RECO), "part")
 def reco_novel(d):
-    scores = ranking.without_evidence(ranking.additive_scores(d.items, kernels.cooccurrence(d.ui)), d.items)
-    return ranks(ranking.ranked(ranking.novel(scores, d.items, d.stats), 10))
+    scores = ranking.cooccurrence_scores(d.items, d.ui, d.stats)  # evidence is never less popular than itself
+    return ranks(ranking.ranked(scores, 10))
 
 
 def starts(d: Data) -> DataFrame:
@@ -512,7 +512,7 @@ def result_store(d):
     return store.results_of(tables, orders.agg(F.min("o_orderpriority")).first()[0])
 
 
-@query("term_counts", None)
+@query("term_counts", r"SELECT customer, term, CAST(count(*) AS DOUBLE) AS w FROM (SELECT doc_id AS customer, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+')) AS term FROM documents) WHERE term <> '' GROUP BY customer, term")
 def term_counts(d):
     return topics.term_counts(d.spark.read.parquet(f"{d.sf_dir}/documents.parquet"))
 
