@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import WORD, materialise, words_of
 
 #: Frequent function words of each language.
 COMMON = {
@@ -135,5 +135,37 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_distance", "common_distance")
 
 
+def sql(most_class: float = 0.26, some_class: float = 0.115, some_common: float = 0.25, least_words: int = 100) -> str:
+    """The same rows in SQL: windows as rows, references as averages of unnested histograms."""
+    text_list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+    listed, n_class, n_common = text_list(LISTED), len(CLASSES) + 1, len(LISTED) + 1
+    written = text_list(sorted({*LISTED, *map(str.capitalize, LISTED)}))
+    classes = ", ".join("length(regexp_replace(text, '[^" + c.replace("'", "''") + "]+', '', 'g'))" for c in CLASSES)
+    half = lambda a, b: f"CASE WHEN {a}[i] > 0 THEN {a}[i] * log2(2 * {a}[i] / ({a}[i] + {b}[i])) / 2 ELSE 0 END"
+    distance_sql = lambda p, q, n: f"sqrt(greatest(0, list_sum(list_transform(range(1, {n + 1}), lambda i: {half(p, q)} + {half(q, p)}))))"
+    mean = lambda p: f"(SELECT list(m ORDER BY i) FROM (SELECT i, avg(x) AS m FROM (SELECT unnest({p}) AS x, unnest(range(1, len({p}) + 1)) AS i FROM good g WHERE g.lang = l.lang) GROUP BY i))"
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS k, CAST(doc_id AS BIGINT) AS doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM docs),
+places AS (SELECT k, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS i FROM split),
+threes AS (SELECT k, i, w, lead(w) OVER t AS w2, lead(w, 2) OVER t AS w3 FROM places WINDOW t AS (PARTITION BY k ORDER BY i)),
+windows AS (SELECT k, i, count(*) OVER (PARTITION BY k, w, w2, w3) AS times FROM threes WHERE w3 IS NOT NULL),
+covered AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM windows WHERE times > 1) GROUP BY k),
+counted AS (SELECT s.k, doc_id, lang, words, CAST(len(words) AS BIGINT) AS n_words, length(text) AS n_chars, [{classes}] AS classes,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+  list_transform(list_filter(words, lambda w: list_contains({written}, w)), lambda w: lower(w)) AS codes FROM split s LEFT JOIN covered c ON s.k = c.k),
+base AS (SELECT k, doc_id, lang, n_words, CAST(n_chars - classes[1] AS BIGINT) AS word_chars, CAST(classes[2] AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
+  n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED_PERCENT} * n_words AS base_failed,
+  list_transform(list_append(classes, n_chars - list_sum(classes)), lambda x: x / greatest(n_chars, 1)) AS p_class,
+  list_transform(list_append(list_transform({listed}, lambda l: len(list_filter(codes, lambda w: w = l))), n_words - len(codes)), lambda x: x / greatest(n_words, 1)) AS p_common FROM counted),
+good AS (SELECT * FROM base WHERE NOT base_failed AND n_words >= {least_words} AND list_contains({text_list(COMMON)}, lang)),
+refs AS (SELECT l.lang, {mean("p_class")} AS q_class, {mean("p_common")} AS q_common FROM (SELECT DISTINCT lang FROM good) l),
+near AS (SELECT b.k, max(CASE WHEN r.lang = b.lang THEN r.a END) AS own_a, max(CASE WHEN r.lang = b.lang THEN r.b END) AS own_b, min(r.a) AS least_a, min(r.b) AS least_b
+  FROM base b JOIN (SELECT k, r.lang, {distance_sql("p_class", "q_class", n_class)} AS a, {distance_sql("p_common", "q_common", n_common)} AS b FROM base CROSS JOIN refs r) r ON b.k = r.k GROUP BY b.k),
+judged AS (SELECT b.*, coalesce(own_a, least_a, 0) AS a, coalesce(own_b, least_b, 0) AS b FROM base b LEFT JOIN near n ON b.k = n.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND a <= {most_class} AND (a <= {some_class} OR b <= {some_common} + greatest(0, 1 - n_words / {least_words}) * 0.25) AS kept FROM judged"""
+
+
 QUERIES = {"op5_divergence_rules": query}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_divergence_rules": sql()}
