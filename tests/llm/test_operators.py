@@ -250,6 +250,16 @@ def test_rules(docs, rows, nothing):
     assert divergence_rules.divergence_rules(nothing).count() == 0
 
 
+def test_rules_are_those_of_the_sql(docs, nothing):
+    duckdb = pytest.importorskip("duckdb")
+    more = docs.select("doc_id", F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('The house of # and to\n', text, '\nA line.\nA line.\n') ELSE text END").alias("text"), "lang")
+    for d in (docs.select("doc_id", "text", "lang"), more, nothing.select("doc_id", "text", "lang")):
+        con, got = duckdb.connect(), divergence_rules.divergence_rules(d).drop("class_distance", "common_distance")
+        con.register("documents", d.toArrow())
+        want = con.execute(divergence_rules.sql()).fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_mix(docs, nothing):
     got = pivotal_mix.pivotal_mix(docs).collect()
     assert len(got) == docs.count() and all(r.taken <= 3 * r["size"] for r in got)
@@ -277,6 +287,25 @@ def test_language_scores(docs, rows, nothing):
     assert all(r.score < 0 and r.train_tokens == n for r in got) and hidden_markov.language_scores(nothing, rounds=1).count() == 0
 
 
+def test_training_raises_the_likelihood(spark):
+    rng = np.random.default_rng(1)
+    move, emit = np.array([[0.9, 0.1], [0.2, 0.8]]), rng.dirichlet([0.2] * 12, 2)
+    texts = []
+    for _ in range(150):
+        z, text = 0, []
+        for _ in range(int(rng.integers(1, 400))):
+            z = rng.choice(2, p=move[z])
+            text.append(rng.choice(12, p=emit[z]))
+        texts.append(np.array(text, np.uint16))
+    table = spark.createDataFrame([(False, x.tobytes()) for x in texts], "held_out boolean, classes binary").repartition(3)
+    unigram = (np.bincount(np.concatenate(texts), minlength=hidden_markov.CLASSES) + 0.5) / (sum(map(len, texts)) + 0.5 * hidden_markov.CLASSES)
+    model, history = hidden_markov.baum_welch(table, unigram, 30, 3, 1e-3)
+    assert 2 < len(history) < 30 and history[-1] > history[0] and history[-1] - history[-2] <= 1e-3 * -history[-2]
+    segments = [x[i : i + hidden_markov.SEGMENT] for x in texts for i in range(0, len(x), hidden_markov.SEGMENT)]
+    assert history[0] == pytest.approx(hidden_markov.forward(segments, hidden_markov.start(unigram, 3)).sum() * np.log(10))
+    assert hidden_markov.baum_welch(table.limit(0), unigram, 3, 3)[1][0] == 0
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(0)
     first, move, emit = rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 5, 3).T

@@ -18,7 +18,9 @@ CLASSES = OWN + ENDINGS
 #: Words whose counts go to every task; the others' counts are joined.
 KNOWN = 131_072
 END, FOLDS, HELD_OUT = b"\n", 7, 2
-SEGMENT, ROUNDS, ADD, PRIOR = 256, 4, 0.5, 200.0
+SEGMENT, ADD, PRIOR = 256, 0.5, 200.0
+#: Training ends when a round adds less than this share to the log-likelihood, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-3, 8
 
 
 def tokens(text: str) -> list[bytes]:
@@ -159,19 +161,24 @@ def expected(obs: np.ndarray, lengths: np.ndarray, model: tuple, counts: tuple)
     return float(np.log(scale).sum())
 
 
-def baum_welch(table: DataFrame, unigram: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Train on all texts of ``table``, in segments of SEGMENT tokens at most."""
+def baum_welch(table: DataFrame, unigram: np.ndarray, rounds: int, seed: int, tolerance: float = TOLERANCE) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], list[float]]:
+    """Train on all texts of ``table``, in segments of SEGMENT tokens at most.
+
+    The log-likelihood is summed with the counts: rounds end when the last one raised it by less than ``tolerance``
+    of its size, after ``rounds`` at the latest. Returns the model and the log-likelihood before each round.
+    """
     model = start(unigram, seed)
     shapes = [x.shape for x in model]
-    length = sum(x.size for x in model)
+    length = sum(x.size for x in model) + 1
+    history: list[float] = []
     for _ in range(rounds):
 
         def count(batches, model=model):
             from pyspark import TaskContext
 
             total, part, held, n = np.zeros(length), TaskContext.get().partitionId(), [], 0
-            cuts = np.split(total, np.cumsum([x.size for x in model])[:-1])
-            counts = tuple(c.reshape(s) for c, s in zip(cuts, shapes, strict=True))
+            cuts = np.split(total, np.cumsum([x.size for x in model]))  # the log-likelihood is the last number
+            counts = tuple(c.reshape(s) for c, s in zip(cuts[:-1], shapes, strict=True))
 
             def use():
                 held.sort(key=len, reverse=True)
@@ -180,7 +187,7 @@ def baum_welch(table: DataFrame, unigram: np.ndarray, rounds: int, seed: int) ->
                     obs = np.zeros((len(own[0]), len(own)), np.uint16)
                     for k, x in enumerate(own):
                         obs[: len(x), k] = x
-                    expected(obs, np.array([len(x) for x in own]), model, counts)
+                    total[-1] += expected(obs, np.array([len(x) for x in own]), model, counts)
 
             for batch in batches:
                 for x in batch.column("classes"):
@@ -196,10 +203,14 @@ def baum_welch(table: DataFrame, unigram: np.ndarray, rounds: int, seed: int) ->
 
         blocks = sum_blocks(table.where(~F.col("held_out")).select("classes").mapInArrow(count, "block int, part long, v binary"), n_parts(table))
         total = joined_blocks(blocks, length)
-        first, move, emit = (c.reshape(s) for c, s in zip(np.split(total, np.cumsum([x.size for x in model])[:-1]), shapes, strict=True))
+        cuts = np.split(total, np.cumsum([x.size for x in model]))
+        first, move, emit = (c.reshape(s) for c, s in zip(cuts[:-1], shapes, strict=True))
+        history.append(float(total[-1]))
         first, move, emit = first + 1, move + 1, emit + PRIOR * unigram[:, None]
         model = first / first.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)
-    return model
+        if len(history) > 1 and history[-1] - history[-2] <= tolerance * abs(history[-2]):
+            break
+    return model, history
 
 
 def forward(ids: list[np.ndarray], model: tuple) -> np.ndarray:
@@ -241,7 +252,7 @@ def language_scores(docs: DataFrame, rounds: int = ROUNDS, seed: int = 3) -> Dat
     sizes = class_sizes(counts, own)
     table = encoded(texts, known, own, sizes)
     unigram = (sizes[0] + ADD) / (n + ADD * CLASSES)
-    model = baum_welch(table, unigram, rounds, seed)
+    model, _ = baum_welch(table, unigram, rounds, seed)
 
     def score(batches):
         for batch in batches:
