@@ -37,7 +37,7 @@ def dense(sql):
 def test_what_stays_on_brands():
     on_parts = {k for k, text in catalogue.ORACLES.items() if catalogue.o.base("part") in text} | {k for k in catalogue.QUERIES if k.endswith("_parts")}
     only = {k for k in catalogue.QUERIES if k not in on_parts and f"{k}_parts" not in on_parts and (k not in catalogue.ORACLES or catalogue.o.base() in catalogue.ORACLES[k])}
-    assert only == {"root_distance", "lsa_smoothed", "term_counts"} and "cooccurrence_edges_parts" in on_parts
+    assert only == {"root_distance", "lsa_smoothed"} and "cooccurrence_edges_parts" in on_parts
 
 
 @pytest.mark.parametrize("name", ["cooccurrence_edges", "cosine", "conditional", "marginal", "transition", "to_probability", "standardised", "reco_full_ranking", "reco_conditional", "reco_marginal", "metric_rare_item_hit", "metric_shuffled_hit", "metric_leave_one_out", "metric_novelty", "metric_mean_prior", "mean_performance"])
