@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import additive_scores, least_popular, novel, of_size, ranked, shuffled, without_evidence
+from .blocks import Graph
+from .ranking import additive_scores, least_popular, of_size, ranked, recommend, shuffled
 
 
 def hits(reco: DataFrame, targets: DataFrame, asked: DataFrame) -> DataFrame:
@@ -14,48 +15,55 @@ def hits(reco: DataFrame, targets: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.select("basket").distinct().join(found, "basket", "left").select("basket", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def rare_item_hit(items: DataFrame, edges: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+def rare_item_hit(items: DataFrame, edges: DataFrame | Graph, stats: DataFrame, n: int) -> DataFrame:
     """The n least popular items are hidden; candidates are less popular than all the rest."""
     items = of_size(items, n + 1)
     targets = least_popular(items, stats, n)
     evidence = items.join(targets, ["basket", "item"], "left_anti")
-    scores = novel(without_evidence(additive_scores(evidence, edges), evidence), evidence, stats)
-    return hits(ranked(scores, n), targets, items)
+    return hits(recommend(evidence, edges, n, stats), targets, items)
 
 
-def shuffled_hit(items: DataFrame, edges: DataFrame, n: int) -> DataFrame:
+def shuffled_hit(items: DataFrame, edges: DataFrame | Graph, n: int) -> DataFrame:
     """n items by the fixed shuffle are hidden."""
     items = of_size(items, n + 1)
     targets = shuffled(items, n)
     evidence = items.join(targets, ["basket", "item"], "left_anti")
-    return hits(ranked(without_evidence(additive_scores(evidence, edges), evidence), n), targets, items)
+    return hits(recommend(evidence, edges, n), targets, items)
 
 
-def weighted_leave_one_out(items: DataFrame, edges: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+def weighted_leave_one_out(items: DataFrame, edges: DataFrame | Graph, stats: DataFrame, n: int) -> DataFrame:
     """Each item is hidden in turn; hits weigh 1 - prior.
 
     Scores add over evidence, so those without an item are the basket's less that item's own edges:
-    one scoring of the basket serves all of its parts.
+    one scoring of the basket serves all of its parts. By the paths of a graph each part is scored in its task.
     """
     items = of_size(items, n + 1)
+    if isinstance(edges, Graph):
+        rest = items.join(items.select("basket", F.col("item").alias("sub")), "basket").where("item <> sub")
+        return _weighted(items, edges.best(rest, n).select(F.struct("basket", F.col("sub").alias("hidden")).alias("basket"), "item", "score"), stats, n)
     whole = additive_scores(items, edges)
     out = items.select("basket", F.col("item").alias("hidden"))
     own = edges.select(F.col("src").alias("hidden"), F.col("dst").alias("item"), F.col("w").alias("own"))
     left = whole.join(out, "basket").join(own, ["hidden", "item"], "left").withColumn("score", F.col("score") - F.coalesce("own", F.lit(0.0)))
     seen = items.select("basket", "item", F.lit(True).alias("seen"))
     left = left.join(seen, ["basket", "item"], "left").where("seen is null or item = hidden")
-    parts = left.select(F.struct("basket", "hidden").alias("basket"), "item", "score")
+    return _weighted(items, left.select(F.struct("basket", "hidden").alias("basket"), "item", "score"), stats, n)
+
+
+def _weighted(items: DataFrame, parts: DataFrame, stats: DataFrame, n: int) -> DataFrame:
+    """basket, value: the share of 1 - prior that is hit, from scores of each basket without one item."""
+    out = items.select("basket", F.col("item").alias("hidden"))
     hit = ranked(parts, n).where("item = basket.hidden").select("basket.basket", "basket.hidden").withColumn("hit", F.lit(1.0))
     weight = 1 - F.col("prior")
     rows = out.join(hit, ["basket", "hidden"], "left").join(stats.select(F.col("item").alias("hidden"), "prior"), "hidden")
     return rows.groupBy("basket").agg((F.sum(weight * F.coalesce("hit", F.lit(0.0))) / F.sum(weight)).alias("value"))
 
 
-def novelty(items: DataFrame, edges: DataFrame, stats: DataFrame, n: int, top: DataFrame) -> DataFrame:
+def novelty(items: DataFrame, edges: DataFrame | Graph, stats: DataFrame, n: int, top: DataFrame) -> DataFrame:
     """Mean of (m - prior) / m over the n best; m is the mean of the highest priors (``top``, one row)."""
     items = of_size(items, n + 1)
     evidence = items.join(least_popular(items, stats, n), ["basket", "item"], "left_anti")
-    best = ranked(without_evidence(additive_scores(evidence, edges), evidence), n)
+    best = recommend(evidence, edges, n)
     priors = best.join(stats.where("pop <> 0").select("item", "prior"), "item").crossJoin(F.broadcast(top))
     value = priors.groupBy("basket").agg(F.avg((F.col("m") - F.col("prior")) / F.col("m")).alias("value"))
     return items.select("basket").distinct().join(value, "basket", "left").select("basket", F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -75,7 +83,7 @@ METRICS = {
 }
 
 
-def evaluate(items: DataFrame, edges: DataFrame, stats: DataFrame, n: int, names: list[str] | None = None) -> DataFrame:
+def evaluate(items: DataFrame, edges: DataFrame | Graph, stats: DataFrame, n: int, names: list[str] | None = None) -> DataFrame:
     """basket, metric, value: every metric over all baskets that are large enough for it, a job a metric."""
     from .statistics import mean_of_top_priors
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import Graph
+
 #: Rows of a table that may be sent to every executor.
 FEW = 2_000_000
 #: Items of baskets whose paths make one task.
@@ -84,8 +86,12 @@ def ranked(scores: DataFrame, n: int = -1, score: Column | None = None) -> DataF
     return rows if n < 0 else rows.where(F.col("rank") <= n)
 
 
-def recommend(evidence: DataFrame, edges: DataFrame, n: int = 10) -> DataFrame:
-    return ranked(without_evidence(additive_scores(evidence, edges), evidence), n)
+def recommend(evidence: DataFrame, edges: DataFrame | Graph, n: int = 10, stats: DataFrame | None = None) -> DataFrame:
+    """The n best by edges, or by the paths of a graph; with ``stats`` of ``novel`` items only."""
+    if isinstance(edges, Graph):
+        return ranked(edges.best(evidence, n, stats is not None).drop("sub"), n)
+    scores = without_evidence(additive_scores(evidence, edges), evidence)
+    return ranked(scores if stats is None else novel(scores, evidence, stats), n)
 
 
 def novel(scores: DataFrame, evidence: DataFrame, stats: DataFrame) -> DataFrame:
