@@ -43,6 +43,17 @@ def test_edges(spark, ui, monkeypatch, name, limits):
     same(rows(getattr(kernels, f"{name}_paths")(ui).edges(name in ("cosine", "conditional")), "src", "dst", "w"), rows(want, "src", "dst", "w"))
 
 
+def test_biased(spark, ui, monkeypatch):
+    stats = statistics.item_stats(ui)
+    alone = ui.unionByName(spark.createDataFrame([(99, 5000, 2.0), (98, 5001, 1.0), (98, 5002, 1.0)], ui.schema))
+    for table in (ui, alone):
+        stats = statistics.item_stats(table)
+        want = kernels.biased(kernels.to_probability(kernels.cooccurrence(table)).localCheckpoint(), stats, 1.0, 3)
+        same(rows(kernels.biased_paths(table, stats, 1.0, 3).edges(), "src", "dst", "w"), rows(want, "src", "dst", "w"))
+    monkeypatch.setattr(kernels, "ITEMS", 3)
+    assert kernels.biased_paths(ui, stats, 1.0, 3) is None
+
+
 @pytest.mark.parametrize("n", [3, -1])
 def test_recommendations(spark, ui, n):
     stats = statistics.item_stats(ui)
