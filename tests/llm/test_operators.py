@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trolley.llm import curve_pack, divergence_rules, hidden_markov, jaccard_regions, multi_index, pivotal_mix, quality_net, secret_battery, tiered_shards, token_output
-from trolley.llm.common import token_ids, vocabulary
+from trolley.llm.common import sifted, token_ids, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n_words long, node long, label long"
 
@@ -458,3 +458,29 @@ def test_one_of_each_keeps_unrelated_texts_of_an_id(spark):
     assert len(sevens) == 1 and sevens[0].text in (text("e"), text("e") + " last")
     want = [(3, text("a")), (5, text("b")), (6, text("c")), (6, text("d")), (9, ""), (9, ""), (None, text("a")), (None, text("a"))]
     assert sorted((str(r.doc_id), r.text) for r in got if r.doc_id != 7) == sorted((str(d), t) for d, t in want)
+
+
+def test_join_sends_small_tables_only(spark, docs, monkeypatch):
+    """Beyond FEW rows nothing is sent to every executor through the driver, and the rows stay the same."""
+    key = lambda df: sorted((str(r.doc_id), str(r.text), r.source is None) for r in df.collect())
+    want = key(jaccard_regions.one_of_each(docs)), sorted(map(str, jaccard_regions.jaccard_components(docs).collect()))
+    sent, broadcast = [], F.broadcast
+
+    def counted(df):
+        sent.append(df.count())
+        return broadcast(df)
+
+    monkeypatch.setattr(jaccard_regions, "FEW", 8)
+    monkeypatch.setattr(F, "broadcast", counted)
+    got = key(jaccard_regions.one_of_each(docs)), sorted(map(str, jaccard_regions.jaccard_components(docs).collect()))
+    assert got == want and max(sent) <= 8
+
+
+def test_sieve_lets_every_key_through(spark):
+    rows = spark.range(20_000).withColumn("text", F.lit("x"))
+    keys = rows.where("id % 10 = 3")
+    may, out = sifted(rows, keys, "id", 2_000)
+    assert may.count() + out.count() == 20_000 and may.join(keys, "id", "left_semi").count() == 2_000 and may.count() < 3_000
+    assert may.columns == out.columns == rows.columns
+    may, out = sifted(rows, keys.limit(0), "id", 0)
+    assert may.count() == 0 and out.count() == 20_000
