@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -382,6 +383,31 @@ def test_cells_walk_in_order():
         assert cells.walk(a, b, enough) == pytest.approx(sums[order][np.searchsorted(np.cumsum(count[order]), enough)])
 
 
+def test_a_walk_goes_in_waves():
+    """Steps of a walk are as few for many pairs as for few; its end is that of all sums in order."""
+    rng = np.random.default_rng(6)
+    cell = np.unique(rng.integers(0, 600 * 600, 20_000))
+    cells, lines = multi_index.Cells(cell, rng.integers(1, 4, len(cell)), 600), []
+
+    def tracer(frame, event, arg):
+        lines.extend([frame.f_lineno] * (frame.f_code.co_filename == multi_index.__file__))
+        return tracer
+
+    for enough in (1, 37.5, 0.2 * cells.total, cells.total - 1, cells.total, cells.total + 1):
+        a, b = rng.standard_normal(600), rng.standard_normal(600)
+        sums = a[cells.first] + b[cells.second]
+        order = np.argsort(-sums)
+        at = np.searchsorted(np.cumsum(cells.count[order]), enough)
+        before = sys.gettrace()
+        sys.settrace(tracer)
+        try:
+            least = cells.walk(a, b, enough)
+        finally:
+            sys.settrace(before)
+        assert least == (sums[order][at] if at < len(sums) else -np.inf)
+    assert len(lines) < 1_000
+
+
 def test_shards(spark, docs, nothing, tmp_path):
     d = docs.withColumn("run", F.lit(7)).withColumn("file", F.lit("x")).withColumn("_g", F.lit(1))
     store = tiered_shards.ShardStore(spark, str(tmp_path / "s"), target=60_000)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +10,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Vectors that codebooks are fitted on at most, centroids of a half at most, rounds of fitting, vectors that one task
-#: compares at most, vectors whose true neighbours say how far to walk, results that meet in one task, and
-#: queries that a task gets at most.
-SAMPLE, MOST_CENTROIDS, ROUNDS, BLOCK, PROBES, FAN_IN, ASKED = 20_000, 2048, 6, 8192, 128, 64, 50_000
+#: compares at most, vectors whose true neighbours say how far to walk, results that meet in one task,
+#: queries that a task gets at most, and first centroids that a walk opens first.
+SAMPLE, MOST_CENTROIDS, ROUNDS, BLOCK, PROBES, FAN_IN, ASKED, FIRST_WAVE = 20_000, 2048, 6, 8192, 128, 64, 50_000, 16
 
 
 def clean(vectors: DataFrame, dim: int) -> DataFrame:
@@ -53,33 +51,36 @@ class Cells:
         self.first, self.second, self.count = cell[order] // wide, cell[order] % wide, count[order]
         self.total = int(count.sum())
         self.rows, starts = np.unique(self.first, return_index=True)
-        self.ends = dict(zip(self.rows.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(cell)], strict=True), strict=True))
+        self.ends = np.zeros((int(self.rows.max(initial=-1)) + 1, 2), np.int64)
+        self.ends[self.rows] = np.column_stack([starts, [*starts[1:].tolist(), len(cell)]]) if len(starts) else 0
+
+    def pairs(self, rows: np.ndarray) -> np.ndarray:
+        """Places of the pairs of some first centroids."""
+        lo, n = self.ends[rows, 0], np.diff(self.ends[rows])[:, 0]
+        return np.arange(int(n.sum())) + np.repeat(lo - np.cumsum(n) + n, n)
 
     def walk(self, a: np.ndarray, b: np.ndarray, enough: float) -> float:
         """The least sum a[i] + b[j] among the best pairs that together hold ``enough`` vectors.
 
-        The multi-sequence walk: a heap holds the best pair not yet visited of each first centroid that is
-        open, and opens the next one when the best sum that it could have comes up.
+        The multi-sequence walk in waves: first centroids open from the best on, twice as many in each wave, and
+        pairs at or above the best sum that one still closed could have are final, in the order of their sums.
         """
         rows = self.rows[np.argsort(-a[self.rows], kind="stable")]
-        top, opened, heap, held, least = float(b[self.second].max()), 0, [], 0, np.inf
-        while held < enough:
-            while opened < len(rows) and (not heap or -heap[0][0] <= a[rows[opened]] + top):
-                i = int(rows[opened])
-                lo, hi = self.ends[i]
-                own = lo + np.argsort(-b[self.second[lo:hi]], kind="stable")
-                sums = (a[i] + b[self.second[own]]).tolist()
-                heapq.heappush(heap, (-sums[0], i, 0, sums, self.count[own].tolist()))
-                opened += 1
-            if not heap:
-                return -np.inf
-            least, i, k, sums, counts = heap[0]
-            held += counts[k]
-            if k + 1 < len(sums):
-                heapq.heapreplace(heap, (-sums[k + 1], i, k + 1, sums, counts))
-            else:
-                heapq.heappop(heap)
-        return -least
+        top, opened, wave = float(b[self.second].max()), 0, FIRST_WAVE
+        sums, counts, held = np.zeros(0), np.zeros(0, np.int64), 0
+        while held < enough and opened < len(rows):
+            at = self.pairs(rows[opened : opened + wave])
+            sums, counts = np.concatenate([sums, a[self.first[at]] + b[self.second[at]]]), np.concatenate([counts, self.count[at]])
+            opened, wave = opened + wave, 2 * wave
+            final = sums >= (a[rows[opened]] + top if opened < len(rows) else -np.inf)
+            held = int(counts[final].sum())
+        if held < enough or not len(sums):
+            return -np.inf
+        sums, counts = sums[final], counts[final]
+        best = np.argpartition(-sums, int(enough))[: int(enough) + 1] if enough < len(sums) else np.arange(len(sums))  # a pair holds one at least
+        sums, counts = sums[best], counts[best]
+        order = np.argsort(-sums, kind="stable")
+        return float(sums[order[np.searchsorted(np.cumsum(counts[order]), enough)]])
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
