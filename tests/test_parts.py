@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from trolley.plans import catalogue
 
@@ -122,3 +123,33 @@ def test_topics(spark, dense):
         pw, pd, pz = n.sum(0) / n.sum((0, 1)), n.sum(1) / n.sum((0, 1)), n.sum((0, 1)) / n.sum()
     got = catalogue.QUERIES["plsa_words_parts"](spark, SF).collect()
     assert len(got) == 3 * len(items) and np.allclose([r.p for r in got], [pw[items.index(r.item), r.z] for r in got], rtol=0, atol=2e-6)
+
+
+def test_possible_items_hold_the_first_of_every_weighting():
+    from trolley.operators import topics
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.random((900, 3)).round(2) * 1e-6, np.tile(rng.random((1, 3)) * 1e-6, (60, 1)), np.zeros((40, 3))])
+    x[:300] += rng.random((300, 3)) * 2e-9
+    ids = rng.permutation(1000)
+    kept = set(topics.possible(x, ids, 12).tolist())
+    assert len(kept) < 400
+    for w in [np.eye(3)[0], np.eye(3)[2], *rng.dirichlet([0.5] * 3, 200)]:
+        s = (w[0] * x[:, 0] + w[1] * x[:, 1] + w[2] * x[:, 2]).round(9)
+        assert set(np.lexsort((-ids, -s))[:12].tolist()) <= kept
+
+
+def test_topics_recommend_without_all_pairs(spark, monkeypatch):
+    """As many rows as items for a basket are scored only where all are ranked; the recommendations are the same."""
+    from trolley.functions.models import Topics
+    from trolley.operators import ranking, topics
+
+    rng = np.random.default_rng(9)
+    ui = spark.createDataFrame(sorted({(int(c), int(i)) for c, i in zip(rng.integers(0, 60, 900), rng.integers(0, 200, 900))}), "customer bigint, item bigint").withColumn("w", F.lit(1.0))
+    baskets = spark.createDataFrame(sorted({(int(b), int(i)) for b, i in zip(rng.integers(0, 30, 90), rng.integers(0, 200, 90))}), "basket bigint, item bigint").join(ui.select("item").distinct(), "item", "left_semi")
+    model = Topics(3, 2).fit(ui)
+    key = lambda df: sorted((r.basket, r["rank"], r.item, round(r.score, 9)) for r in df.collect())
+    want = key(ranking.ranked(ranking.without_evidence(model.scores(baskets), baskets), 4))
+    monkeypatch.setattr(topics, "HELD", 40)
+    monkeypatch.setattr(topics, "folded_scores", None)
+    assert want and key(model.recommend(baskets, 4)) == want

@@ -138,8 +138,16 @@ class Topics(Recommender):
         return self
 
     def scores(self, evidence: DataFrame) -> DataFrame:
-        rows = evidence.select(F.col("basket").alias("customer"), "item", F.lit(1.0).alias("w"))
-        return topics.folded_scores(rows, self.model, self.steps)
+        return topics.folded_scores(self.documents(evidence), self.model, self.steps)
+
+    def documents(self, evidence: DataFrame) -> DataFrame:
+        return evidence.select(F.col("basket").alias("customer"), "item", F.lit(1.0).alias("w"))
+
+    def recommend(self, evidence: DataFrame, n: int = 10, kind: str = "all") -> DataFrame:
+        """Without pairs of every basket and item, unless all are ranked or the novel ones are chosen."""
+        if kind == "novel" or n < 1:
+            return super().recommend(evidence, n, kind)
+        return ranking.ranked(topics.folded_best(self.documents(evidence), self.model, self.steps, n), n)
 
 
 MODELS = {"popularity": Popularity, "additive": Additive, "marginal": Marginal, "walk": Walk, "paths": Paths, "paths_alias": Paths, "topics": Topics}
