@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,45 @@ def test_rows_equal_the_sql(spark, sql, tmp_path, name):
     columns = [c[0] for c in sql.sql("DESCRIBE want").fetchall()]
     got = f"SELECT {', '.join(columns)} FROM '{tmp_path}/got/*.parquet'"
     assert sql.sql(f"({got} EXCEPT ALL SELECT * FROM want) UNION ALL (SELECT * FROM want EXCEPT ALL {got})").fetchall() == []
+
+
+@pytest.mark.parametrize("limits", [{"ENTRIES": 0}, {"ITEMS": 3}, {"PACK": 1, "BLOCKS": 3}, {"PACK": 7, "PATHS": 5}])
+@pytest.mark.parametrize("name", ["cooccurrence", "cosine", "conditional", "transition", "probability"])
+def test_packed_or_not(spark, ui, monkeypatch, name, limits):
+    """Counts that tasks may hold packed give the edges of those that they may not."""
+    want = rows(getattr(kernels, f"{name}_paths")(ui).edges(), "src", "dst", "w")
+    for k, v in limits.items():
+        monkeypatch.setattr(blocks, k, v)
+    same(rows(getattr(kernels, f"{name}_paths")(ui).edges(), "src", "dst", "w"), want)
+
+
+def test_lists_of_many_blocks_are_small(spark):
+    """Where the items of a customer are of all blocks, four bytes a row and block are sent, and no more blocks than a few."""
+    rng = np.random.default_rng(3)
+    masks = (np.uint64(1) << rng.integers(0, 12, 5000).astype(np.uint64)).astype(np.uint64)
+    customer, item = np.repeat(np.arange(500), 40), np.concatenate([np.sort(rng.choice(5000, 40, replace=False)) for _ in range(500)])
+    batches = [pa.record_batch({"customer": customer[k : k + 777], "item": item[k : k + 777] * 3, "x": np.ones(len(item[k : k + 777]))}) for k in range(0, len(item), 777)]
+    got, sent = {}, 0
+    for batch in blocks.packed(batches, np.arange(5000) * 3, masks):
+        sent += batch.nbytes
+        for b in range(12):
+            part = batch.filter(pa.array(batch.column("block").to_numpy() == b))
+            if len(part):
+                got.setdefault(b, blocks.Lists(len(item))).add(*(part.column(c) for c in ("n", "low", "high", "x")))
+    of = masks[item].reshape(500, 40)
+    for b in range(12):
+        whole = np.flatnonzero((of >> np.uint64(b) & np.uint64(1)).any(1))
+        n, items, x = got[b].arrays()
+        assert (n == 40).all() and (items.reshape(-1, 40) == item.reshape(500, 40)[whole]).all() and (x == 1).all()
+    assert sent < 12 * len(item) * 4.5
+
+
+def test_ranks_without_a_shuffle(spark, ui):
+    """Ranks are given where a basket is scored, and are those of a window over all scores."""
+    evidence = spark.createDataFrame([(b, 7 * i * i) for b in range(12) for i in {b, b % 5, 3}], "basket long, item long")
+    for n in (2, 1000, -1):
+        best = ranking.recommend(evidence, kernels.cooccurrence_paths(ui), n)
+        assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
+        want = ranking.recommend(evidence, kernels.cooccurrence(ui), n)
+        names = ("basket", "item", "score", "rank")
+        assert rows(best, *names) == rows(want, *names)

@@ -89,7 +89,7 @@ def ranked(scores: DataFrame, n: int = -1, score: Column | None = None) -> DataF
 def recommend(evidence: DataFrame, edges: DataFrame | Graph, n: int = 10, stats: DataFrame | None = None) -> DataFrame:
     """The n best by edges, or by the paths of a graph; with ``stats`` of ``novel`` items only."""
     if isinstance(edges, Graph):
-        return ranked(edges.best(evidence, n, stats is not None).drop("sub"), n)
+        return edges.best(evidence, n, stats is not None, rank=True).drop("sub")
     scores = without_evidence(additive_scores(evidence, edges), evidence)
     return ranked(scores if stats is None else novel(scores, evidence, stats), n)
 
